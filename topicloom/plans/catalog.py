@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicloom.plans import q_text  # noqa: F401
+from topicloom.plans import q_ngrams, q_text  # noqa: F401
 from topicloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
