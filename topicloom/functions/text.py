@@ -34,7 +34,7 @@ PY_WS = r"[ \t\n\r\f\x0B]"
 # JavaScript String.prototype.trim() whitespace (caption reader).
 JS_WS = r"[\t\n\x0B\f\r \x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
 # Speaker label: capitals, hyphens and blanks, then a colon.
-SPEAKER_LABEL = r"^([A-Z\- \t\n\r\f\x0B]+):(.*)$"
+SPEAKER_LABEL = r"^([A-Z\- \t\n\r\f\x0B]+):([^\n]*)$"
 # Caption index line and time code line.
 CAPTION_INDEX = r"^[0-9]+$"
 CAPTION_TIMECODE = r"[0-9:,]+\s*-->\s*[0-9:,]+"
@@ -73,11 +73,11 @@ def tokens(c: Column) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")
+    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+\\z", "")
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+$", "")
+    return F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+\\z", "")
 
 
 def speaker_of(line: Column) -> Column:

@@ -51,3 +51,50 @@ def topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.concat_ws("_", "model", F.col("k").cast("string")).alias("run"),
                           "model", F.col("k").cast("int").alias("k"),
                           cid.cast("int").alias("cluster"), "words")
+
+
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-shaped raw lines from documents: each text line k of a document
+    becomes a block (index, time code, text, blank); file = doc_id."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("k", "L"))
+    mm, ss = (F.floor(F.col("k") / 60) % 60).cast("int"), (F.col("k") % 60).cast("int")
+    tc = F.format_string("00:%02d:%02d,000 --> 00:%02d:%02d,900", mm, ss, mm, ss)
+    blocks = F.array(
+        F.struct(F.lit(0).alias("off"), (F.col("k") + 1).cast("string").alias("raw")),
+        F.struct(F.lit(1).alias("off"), tc.alias("raw")),
+        F.struct(F.lit(2).alias("off"), F.col("L").alias("raw")),
+        F.struct(F.lit(3).alias("off"), F.lit("").alias("raw")))
+    return d.select("file", "k", F.explode(blocks).alias("b")).select(
+        "file", (F.col("k") * 4 + F.col("b.off")).cast("long").alias("line_no"), F.col("b.raw").alias("raw"))
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines from conversations: ``ROLE: text`` split on newlines,
+    so later lines of a turn are unlabelled continuations; file = conv_id."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("file"), "turn",
+                    F.posexplode(F.split(F.concat(F.upper("role"), F.lit(": "), F.col("text")), "\n", -1))
+                    .alias("sub", "line"))
+
+
+def order_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, title, month, day, year): dated titles from order dates.
+
+    Four spellings rotate with the order key: month-day-two-digit-year in
+    brackets, day.month.year (day first), a leading number that captures
+    the match, and an undated year (before 2014). Years move 22 years on so
+    that most of them fall in the dated range.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d0"))
+    d = F.add_months(F.col("d0"), 12 * 22)
+    m, dd = F.month(d).cast("string"), F.dayofmonth(d).cast("string")
+    y4, y2 = F.year(d).cast("string"), F.lpad((F.year(d) % 100).cast("string"), 2, "0")
+    v = F.col("o_orderkey") % 4
+    title = (F.when(v == 0, F.concat(F.lit("Rally in Town ("), m, F.lit("-"), dd, F.lit("-"), y2, F.lit(")")))
+             .when(v == 1, F.concat(F.lit("Speech "), dd, F.lit("."), m, F.lit("."), y4))
+             .when(v == 2, F.concat(F.lit("10,000 Plus ("), m, F.lit("-"), dd, F.lit("-"), y2, F.lit(")")))
+             .otherwise(F.concat(F.lit("Event "), F.month("d0").cast("string"), F.lit("/"),
+                                 F.dayofmonth("d0").cast("string"), F.lit("/"), F.year("d0").cast("string"))))
+    return o.select("o_orderkey", title.alias("title"), m.alias("month"), dd.alias("day"), y4.alias("year"),
+                    d.alias("shifted"))
