@@ -9,15 +9,16 @@ each position carries a closed-form weight instead:
 * token i weighs  least(i, n-L) - greatest(i-(L-1), 0) + 1;
 * pair i < j <= i+L-1 weighs  least(i, n-L) - greatest(j-(L-1), 0) + 1.
 
-So each token emits at most L-1 partner rows, generated inside the row
-(no self-join, no shuffle before the aggregation). The weighted sums are
-plain hash aggregations with map-side partial aggregation, which also
-absorbs the skew of very common words.
+So each token emits at most L-1 partner rows (a ``lead`` window over the
+document's tokens; no self-join). The weighted sums are plain hash
+aggregations with map-side partial aggregation, which also absorbs the
+skew of very common words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
@@ -59,25 +60,43 @@ def unigram_counts(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text
 
 def pair_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
               doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, i, j, a, b, wt): every position pair that shares a window, unequal words."""
+    """(doc_id, i, j, a, b, wt): every position pair that shares a window, unequal words.
+
+    Documents are hash-partitioned by doc_id once (compact text rows, not
+    tokens); the token rows inherit that partitioning, so the ``lead``
+    window that pairs each token with its next L-1 tokens needs no further
+    exchange and runs as generated code.
+    """
     L = int(window)
-    d = _words(docs, text, doc_id)
-    per_token = d.select("doc_id", "n", F.explode(F.transform(
-        "w", lambda x, i: F.struct(i.alias("i"), x.alias("a"),
-                                   F.slice("w", i + 2, L - 1).alias("nxt")))).alias("t"))
-    pairs = per_token.select("doc_id", "n", F.col("t.i").alias("i"), F.col("t.a").alias("a"),
-                             F.posexplode("t.nxt").alias("k", "b"))
-    pairs = pairs.withColumn("j", F.col("i") + F.col("k") + 1).filter(F.col("a") != F.col("b"))
+    d = _words(docs.repartition(F.col(doc_id)), text, doc_id)
+    tk = d.select("doc_id", "n", F.posexplode("w").alias("i", "a"))
+    win = Window.partitionBy("doc_id").orderBy("i")
+    nxt = F.array(*[F.struct(F.lit(k).alias("d"), F.lead("a", k).over(win).alias("b")) for k in range(1, L)])
+    pairs = (tk.select("doc_id", "n", "i", "a", nxt.alias("nx"))
+             .select("doc_id", "n", "i", "a", F.inline("nx"))
+             .filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+             .withColumn("j", F.col("i") + F.col("d")))
     return pairs.select("doc_id", "i", "j", "a", "b",
                         _pair_weight(F.col("i"), F.col("j"), F.col("n"), L).alias("wt"))
 
 
+def pair_key(a: Column, b: Column) -> Column:
+    """Order-free pair key "w1 w2" with w1 < w2 (SCL-25). Tokens never hold a
+    blank, so the key splits back exactly; one string hashes faster than two."""
+    return F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
+
+
+def split_key(k: Column) -> tuple[Column, Column]:
+    return F.substring_index(k, " ", 1), F.substring_index(k, " ", -1)
+
+
 def bigram_counts(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                   doc_id: str = "doc_id") -> DataFrame:
-    """AGG-5: (w1, w2, n) with w1 < w2 (SCL-25 order-free key), FLT-6 applied."""
+    """AGG-5: (w1, w2, n) with w1 < w2, FLT-6 applied."""
     p = pair_rows(docs, window, text, doc_id)
-    return (p.groupBy(F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2"))
-            .agg(F.sum(F.col("wt").cast("long")).alias("n")))
+    g = p.groupBy(pair_key(F.col("a"), F.col("b")).alias("k")).agg(F.sum(F.col("wt").cast("long")).alias("n"))
+    w1, w2 = split_key(F.col("k"))
+    return g.select(w1.alias("w1"), w2.alias("w2"), "n")
 
 
 def window_ngrams(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
@@ -95,3 +114,25 @@ def window_list(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     return d.select("doc_id", F.explode(F.transform(
         starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, L).alias("words")))).alias("x")) \
         .select("doc_id", F.col("x.start").alias("start"), F.col("x.words").alias("words"))
+
+
+def unigram_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
+                 doc_id: str = "doc_id") -> DataFrame:
+    """(token, wt): one row per token position with its window weight."""
+    L = int(window)
+    d = _words(docs, text, doc_id)
+    rows = d.select(F.explode(F.transform(
+        "w", lambda x, i: F.struct(x.alias("token"), _token_weight(i, F.col("n"), L).alias("wt")))).alias("t"))
+    return rows.select(F.col("t.token").alias("token"), F.col("t.wt").alias("wt"))
+
+
+def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
+                  doc_id: str = "doc_id") -> Column:
+    """AGG-7 for unigrams in closed form: sum over documents of (windows x tokens per window).
+
+    n < L: one window of n tokens; otherwise n-L+1 windows of L tokens.
+    """
+    L = int(window)
+    d = _words(docs, text, doc_id)
+    per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
+    return d.select(F.sum(per_doc).cast("double")).scalar()

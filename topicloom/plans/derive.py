@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import clean_text, tokens
-from topicloom.plans.tables import table
+from topicloom.functions.text import tokens
+from topicloom.plans.tables import cleaned_corpus, table
 
 TOPIC_MODELS = ("lang", "source")
 TOPIC_KS = (1, 4, 10)
 
 
 def cleaned_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "source", clean_text(F.col("text")).alias("text"))
+    return cleaned_corpus(spark, sf_dir)
 
 
 def topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.operators import coherence as coh
-from topicloom.operators import ngrams as ng
 from topicloom.operators import runs as R
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
@@ -22,8 +21,7 @@ GRID_RANGE = "1..12"
 
 def _scored(spark, sf_dir):
     topics = topic_runs(spark, sf_dir)
-    uni, bi = ng.window_ngrams(cleaned_documents(spark, sf_dir))
-    scores = coh.topic_coherence(topics, uni, bi)
+    scores = coh.topic_coherence_from_docs(topics, cleaned_documents(spark, sf_dir))
     return topics, scores
 
 
