@@ -136,3 +136,12 @@ def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text"
     d = _words(docs, text, doc_id)
     per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
     return d.select(F.sum(per_doc).cast("double")).scalar()
+
+
+def unigram_total_value(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
+                        doc_id: str = "doc_id") -> int:
+    """``unigram_total`` computed now, as a number."""
+    L = int(window)
+    d = _words(docs, text, doc_id)
+    per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
+    return int(d.agg(F.sum(per_doc)).first()[0] or 0)

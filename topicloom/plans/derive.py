@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
-from topicloom.plans.tables import cleaned_corpus, table
+from topicloom.plans.tables import cleaned_corpus, stage, table
 
 TOPIC_MODELS = ("lang", "source")
 TOPIC_KS = (1, 4, 10)
@@ -30,6 +30,10 @@ def topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words the k most frequent cleaned tokens (ties by token). These stand
     in for the clustering runs of a sweep over K.
     """
+    return stage(spark, f"topics:{sf_dir}", lambda: _topic_runs(spark, sf_dir))
+
+
+def _topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cleaned_with_meta(spark, sf_dir)
     toks = d.select("lang", "source", F.explode(tokens(F.col("text"))).alias("token"))
     counts = toks.groupBy("lang", "source", "token").agg(F.count(F.lit(1)).alias("c"))
