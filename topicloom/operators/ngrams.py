@@ -145,3 +145,23 @@ def unigram_total_value(docs: DataFrame, window: int = WINDOW_SIZE, text: str =
     d = _words(docs, text, doc_id)
     per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
     return int(d.agg(F.sum(per_doc)).first()[0] or 0)
+
+
+def pair_rows_inrow(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """``pair_rows`` generated inside each document row (no window, no shuffle).
+
+    Slower per row on one machine than the ``lead`` window (lambdas are
+    interpreted), but it needs no partitioning, so it also runs on
+    streaming DataFrames where non-time windows are not allowed.
+    """
+    L = int(window)
+    d = _words(docs, text, doc_id)
+    per_token = d.select("doc_id", "n", F.explode(F.transform(
+        "w", lambda x, i: F.struct(i.alias("i"), x.alias("a"),
+                                   F.slice("w", i + 2, L - 1).alias("nxt")))).alias("t"))
+    pairs = per_token.select("doc_id", "n", F.col("t.i").alias("i"), F.col("t.a").alias("a"),
+                             F.posexplode("t.nxt").alias("k", "b"))
+    pairs = pairs.withColumn("j", F.col("i") + F.col("k") + 1).filter(F.col("a") != F.col("b"))
+    return pairs.select("doc_id", "i", "j", "a", "b",
+                        _pair_weight(F.col("i"), F.col("j"), F.col("n"), L).alias("wt"))
