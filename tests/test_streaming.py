@@ -1,0 +1,28 @@
+"""Streaming counts equal the batch counts over the same documents."""
+
+import os
+
+from topicloom.operators import ngrams
+from topicloom.streaming.counts import start_counts, streaming_counts
+from topicloom.functions.text import clean_text
+from pyspark.sql import functions as F
+
+
+def test_stream_counts_equal_batch(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    docs.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    uni_s, bi_s = streaming_counts(stream)
+    q1 = start_counts(uni_s, "uni_counts", os.path.join(tmpdir_path, "ck1"))
+    q2 = start_counts(bi_s, "bi_counts", os.path.join(tmpdir_path, "ck2"))
+    q1.processAllAvailable()
+    q2.processAllAvailable()
+    batch_docs = spark.read.parquet(src).select("doc_id", clean_text(F.col("text")).alias("text"))
+    want_u = {(r["token"], r["n"]) for r in ngrams.unigram_counts(batch_docs).collect()}
+    want_b = {(r["w1"], r["w2"], r["n"]) for r in ngrams.bigram_counts(batch_docs).collect()}
+    got_u = {(r["token"], r["n"]) for r in spark.sql("SELECT * FROM uni_counts").collect()}
+    got_b = {(r["w1"], r["w2"], r["n"]) for r in spark.sql("SELECT * FROM bi_counts").collect()}
+    q1.stop()
+    q2.stop()
+    assert got_u == want_u and got_b == want_b
