@@ -74,13 +74,14 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return parse_word_vector_lines(spark.read.text(path))
 
 
-def parse_topic_csv(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
-    """SRC-5: 'id, w1 w2 ...' -> (cluster, words); the last line of a repeated id wins."""
+def parse_topic_csv(lines: DataFrame, value: str = "value", order: str = "line_no", keys=()) -> DataFrame:
+    """SRC-5: 'id, w1 w2 ...' -> (keys, cluster, words); the last line of a
+    repeated id wins (per ``keys``, e.g. the file or run)."""
     f = lines.filter(F.trim(F.col(value)) != "")
     parts = F.split(F.col(value), ",", 2)
     words = F.filter(F.split(F.trim(F.element_at(parts, 2)), r"\s+", -1), lambda x: x != "")
-    rows = f.select(F.trim(F.element_at(parts, 1)).alias("cluster"), words.alias("words"), order)
-    return rows.groupBy("cluster").agg(F.max_by("words", order).alias("words"))
+    rows = f.select(*keys, F.trim(F.element_at(parts, 1)).alias("cluster"), words.alias("words"), order)
+    return rows.groupBy(*keys, "cluster").agg(F.max_by("words", order).alias("words"))
 
 
 def read_topic_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -30,10 +30,10 @@ def write_ordered_text(df: DataFrame, line: str, order, path: str) -> None:
     df.orderBy(*order).select(line).write.mode("overwrite").text(path)
 
 
-def cluster_csv(clusters: DataFrame) -> DataFrame:
-    """SNK-2 clusters.csv layout: 'id, w1 w2 ...'."""
-    return clusters.select("cluster", F.concat_ws(", ", F.col("cluster").cast("string"),
-                                                  F.array_join("words", " ")).alias("line"))
+def cluster_csv(clusters: DataFrame, keep=()) -> DataFrame:
+    """SNK-2 clusters.csv layout: 'id, w1 w2 ...' (``keep`` columns pass through)."""
+    return clusters.select(*keep, "cluster", F.concat_ws(", ", F.col("cluster").cast("string"),
+                                                         F.array_join("words", " ")).alias("line"))
 
 
 def cluster_errs_csv(errs: DataFrame) -> DataFrame:
