@@ -79,3 +79,24 @@ def file_name_date(name: Column) -> Column:
 def iso_to_epoch(d: Column) -> Column:
     """SCL-40: ISO date -> epoch seconds (session time zone, UTC by default)."""
     return F.unix_timestamp(F.to_timestamp(d))
+
+
+def with_title_date(df, title: str, ymd: str = "ymd", date: str = "date", min_year: int = MIN_YEAR):
+    """Add ``ymd`` (SCL-19 string) and ``date`` columns to ``df``.
+
+    Each regex runs once per row: the stripped title, the match flag and the
+    three groups are separate projected columns (composing them as one
+    Column would repeat the regex in every branch of the expression).
+    """
+    t = df.withColumn("_t", py_strip(F.col(title)))
+    t = t.withColumn("_has", F.col("_t").rlike(TITLE_DATE))
+    for i, name in enumerate(("_mo", "_da", "_yr"), start=1):
+        t = t.withColumn(name, F.when(F.col("_has"), F.regexp_extract("_t", TITLE_DATE, i)))
+    t = t.withColumn("_y", F.when(F.length("_yr") == 2, F.concat(F.lit("20"), "_yr")).otherwise(F.col("_yr")))
+    t = t.withColumn("_swap", F.col("_mo").try_cast("decimal(38,0)") > 12)
+    t = t.withColumn("_m2", F.when(F.col("_swap"), F.col("_da")).otherwise(F.col("_mo")))
+    t = t.withColumn("_d2", F.when(F.col("_swap"), F.col("_mo")).otherwise(F.col("_da")))
+    raw = F.concat(F.col("_y"), F.lit("-"), _zfill2(F.col("_m2")), F.lit("-"), _zfill2(F.col("_d2")))
+    t = t.withColumn(ymd, F.when(F.col("_y").try_cast("decimal(38,0)") >= min_year, raw))
+    t = t.withColumn(date, ymd_to_date(F.col(ymd)))
+    return t.drop("_t", "_has", "_mo", "_da", "_yr", "_y", "_swap", "_m2", "_d2")

@@ -31,8 +31,12 @@ ONE_LEADING_SPACE = r"^ "
 
 # Python 2 byte-string whitespace: the reference's strip() / \s.
 PY_WS = r"[ \t\n\r\f\x0B]"
-# JavaScript String.prototype.trim() whitespace (caption reader).
-JS_WS = r"[\t\n\x0B\f\r \x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
+PY_WS_CHARS = " \t\n\r\f\x0b"
+# JavaScript String.prototype.trim() whitespace (caption reader): TAB, VT,
+# FF, SP, NBSP, ZWNBSP, the Unicode space separators (Zs) and the line
+# terminators LF, CR, LS, PS.
+JS_WS_CHARS = ("\t\x0b\x0c \u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u202f\u205f\u3000\n\r\u2028\u2029")
 # Speaker label: capitals, hyphens and blanks, then a colon.
 SPEAKER_LABEL = r"^([A-Z\- \t\n\r\f\x0B]+):([^\n]*)$"
 # Caption index line and time code line.
@@ -73,11 +77,13 @@ def tokens(c: Column) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+\\z", "")
+    """Python's str.strip() on byte strings: ASCII whitespace at both ends."""
+    return F.btrim(c, F.lit(PY_WS_CHARS))
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+\\z", "")
+    """JavaScript's String.prototype.trim()."""
+    return F.btrim(c, F.lit(JS_WS_CHARS))
 
 
 def speaker_of(line: Column) -> Column:

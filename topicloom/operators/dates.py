@@ -18,16 +18,14 @@ def date_titles(titles: DataFrame, overrides: DataFrame | None = None, title: st
     entry with the highest ``seq`` wins for a repeated title. The override
     table is user input: it is broadcast only when its size is checked.
     """
-    key = py_strip(F.col(title))
-    t = titles.withColumn("_key", key)
-    parsed = D.title_date_string(F.col(title), min_year)
+    t = titles.withColumn("_key", py_strip(F.col(title)))
+    t = D.with_title_date(t, title, "_parsed", "_pdate", min_year)
     if overrides is not None:
         ov = (overrides.groupBy(py_strip(F.col("title")).alias("_key"))
               .agg(F.max_by(F.struct("month", "day", "year"), F.col("seq")).alias("_ov")))
         t = t.join(broadcast_if_small(ov, max_override_rows), "_key", "left")
         ov_ymd = D.ymd_from_parts(F.col("_ov.month"), F.col("_ov.day"), F.col("_ov.year"), min_year)
-        ymd = F.when(F.col("_ov").isNotNull(), ov_ymd).otherwise(parsed)
-        t = t.withColumn("ymd", ymd).drop("_ov")
+        t = t.withColumn("ymd", F.when(F.col("_ov").isNotNull(), ov_ymd).otherwise(F.col("_parsed"))).drop("_ov")
     else:
-        t = t.withColumn("ymd", parsed)
-    return t.withColumn("date", D.ymd_to_date(F.col("ymd"))).drop("_key")
+        t = t.withColumn("ymd", F.col("_parsed"))
+    return t.withColumn("date", D.ymd_to_date(F.col("ymd"))).drop("_key", "_parsed", "_pdate")

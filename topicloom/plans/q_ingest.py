@@ -170,20 +170,16 @@ def q_html_paragraphs(spark, sf_dir):
 SELECT CAST(doc_id AS BIGINT) AS doc_id, {_title_date_sql('text')} AS ymd,
        {_date_sql(_title_date_sql('text'))} AS date FROM documents""")
 def q_title_dates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    ymd = D.title_date_string(F.col("text"))
-    return d.select(F.col("doc_id").cast("bigint"), ymd.alias("ymd"),
-                    D.ymd_to_date(ymd).cast("string").alias("date"))
+    d = D.with_title_date(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return d.select(F.col("doc_id").cast("bigint"), "ymd", F.col("date").cast("string"))
 
 
 @register("title_dates_orders", sql=f"WITH {ORDER_TITLES_CTE.strip()}" + f"""
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, title, {_title_date_sql('title')} AS ymd,
        {_date_sql(_title_date_sql('title'))} AS date FROM ot""")
 def q_title_dates_orders(spark, sf_dir):
-    t = order_titles(spark, sf_dir)
-    ymd = D.title_date_string(F.col("title"))
-    return t.select(F.col("o_orderkey").cast("bigint"), "title", ymd.alias("ymd"),
-                    D.ymd_to_date(ymd).cast("string").alias("date"))
+    t = D.with_title_date(order_titles(spark, sf_dir).select("o_orderkey", "title"), "title")
+    return t.select(F.col("o_orderkey").cast("bigint"), "title", "ymd", F.col("date").cast("string"))
 
 
 def _overrides(t):
