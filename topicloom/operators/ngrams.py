@@ -26,6 +26,11 @@ from topicloom.functions.text import tokens
 WINDOW_SIZE = 10
 
 
+def by_document(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Hash-partition documents by id (compact text rows) before per-document work."""
+    return docs.repartition(F.col(doc_id))
+
+
 def _words(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     # FLT-3: blank documents are skipped; SCL-14 tokeniser.
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
@@ -62,13 +67,14 @@ def pair_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
               doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, i, j, a, b, wt): every position pair that shares a window, unequal words.
 
-    Documents are hash-partitioned by doc_id once (compact text rows, not
-    tokens); the token rows inherit that partitioning, so the ``lead``
-    window that pairs each token with its next L-1 tokens needs no further
-    exchange and runs as generated code.
+    The ``lead`` window pairs each token with its next L-1 tokens and runs
+    as generated code. It needs the tokens clustered by document: when the
+    documents arrive hash-partitioned by doc_id (``by_document``, or a
+    stage stored that way) the token rows inherit it and no exchange is
+    added; otherwise Spark shuffles the token rows.
     """
     L = int(window)
-    d = _words(docs.repartition(F.col(doc_id)), text, doc_id)
+    d = _words(docs, text, doc_id)
     tk = d.select("doc_id", "n", F.posexplode("w").alias("i", "a"))
     win = Window.partitionBy("doc_id").orderBy("i")
     nxt = F.array(*[F.struct(F.lit(k).alias("d"), F.lead("a", k).over(win).alias("b")) for k in range(1, L)])

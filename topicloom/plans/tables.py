@@ -17,8 +17,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    A small table in one Parquet file is one split, so everything fused
+    with its scan would run in one task. Only then is it redistributed
+    (round robin, deterministic on retry); a large input already has more
+    splits than cores and is left untouched. Filters and column pruning
+    still reach the scan below the repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(2 * target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
