@@ -50,7 +50,7 @@ def q_topic_csv_roundtrip(spark, sf_dir):
 
 
 @register("keyword_lines", sql=S.tfidf_keywords_sql(0.05).replace(
-    "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(rnk AS BIGINT) AS rank, token,\n       round(tfidf, 6) AS tfidf\nFROM ranked WHERE",
+    "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(rnk AS BIGINT) AS rank, token,\n       round(tfidf, 6) + 0.0 AS tfidf\nFROM ranked WHERE",
     "SELECT CAST(doc_id AS BIGINT) AS doc_id, string_agg(token, ' ' ORDER BY rnk) AS line\nFROM ranked WHERE")
     + " GROUP BY doc_id")
 def q_keyword_lines(spark, sf_dir):

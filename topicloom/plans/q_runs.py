@@ -34,8 +34,8 @@ ok AS (SELECT * FROM sc WHERE score IS NOT NULL AND NOT isnan(score))
 
 
 @register("rank_all", sql=RUNS_CTE + """
-SELECT CAST(row_number() OVER (ORDER BY round(score, 6), run, label, cluster) AS BIGINT) AS rank,
-       round(score, 6) AS score, run, CAST(cluster AS BIGINT) AS cluster, label FROM ok""")
+SELECT CAST(row_number() OVER (ORDER BY round(score, 6) + 0.0, run, label, cluster) AS BIGINT) AS rank,
+       round(score, 6) + 0.0 AS score, run, CAST(cluster AS BIGINT) AS cluster, label FROM ok""")
 def q_rank_all(spark, sf_dir):
     topics, scores = _scored(spark, sf_dir)
     r = R.rank_all(scores, topics)
@@ -44,8 +44,8 @@ def q_rank_all(spark, sf_dir):
 
 
 @register("rank_combined", sql=RUNS_CTE + """
-SELECT round(score, 6) AS score, label, array_to_string(list_sort(list(DISTINCT run)), ' ') AS runs
-FROM ok GROUP BY round(score, 6), label""")
+SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(DISTINCT run)), ' ') AS runs
+FROM ok GROUP BY round(score, 6) + 0.0, label""")
 def q_rank_combined(spark, sf_dir):
     topics, scores = _scored(spark, sf_dir)
     r = R.rank_combined(scores, topics)
@@ -53,8 +53,8 @@ def q_rank_combined(spark, sf_dir):
 
 
 @register("ranked_series", sql=RUNS_CTE + """
-SELECT model, CAST(row_number() OVER (ORDER BY round(score, 6), run, label, cluster) AS BIGINT) AS x,
-       round(score, 6) AS score, CAST(nwords AS BIGINT) AS nwords FROM ok""")
+SELECT model, CAST(row_number() OVER (ORDER BY round(score, 6) + 0.0, run, label, cluster) AS BIGINT) AS x,
+       round(score, 6) + 0.0 AS score, CAST(nwords AS BIGINT) AS nwords FROM ok""")
 def q_ranked_series(spark, sf_dir):
     topics, scores = _scored(spark, sf_dir)
     r = R.rank_all(scores, topics)
@@ -65,7 +65,7 @@ def q_ranked_series(spark, sf_dir):
 
 @register("run_curves", sql=RUNS_CTE + """
 SELECT model AS embed, 'topk' AS variant, 'clusters' AS kind, CAST(k AS BIGINT) AS k,
-       round(avg(score), 6) AS mean, round(median(median), 6) AS median
+       round(avg(score), 6) + 0.0 AS mean, round(median(median), 6) + 0.0 AS median
 FROM sc WHERE k <= 1000 GROUP BY model, k""")
 def q_run_curves(spark, sf_dir):
     topics, scores = _scored(spark, sf_dir)

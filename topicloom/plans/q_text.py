@@ -54,7 +54,7 @@ def q_max_df(spark, sf_dir):
 @register("tfidf_scores", sql=f"""WITH docs AS ({S.CLEAN_DOCS}),
 {S.TFIDF_SCORES_CTE.format(lo='0.0', hi='1.0').strip()}
 SELECT CAST(doc_id AS BIGINT) AS doc_id, token, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df,
-       round(idf, 6) AS idf, round(tfidf, 6) AS tfidf FROM sc""")
+       round(idf, 6) + 0.0 AS idf, round(tfidf, 6) + 0.0 AS tfidf FROM sc""")
 def q_tfidf_scores(spark, sf_dir):
     s = kw.tfidf_scores(cleaned_documents(spark, sf_dir))
     return s.select(F.col("doc_id").cast("bigint"), "token", F.col("tf").cast("bigint"),
@@ -82,3 +82,18 @@ def q_tfidf_keywords_pipeline(spark, sf_dir):
 def q_tfidf_band_max(spark, sf_dir):
     return _keywords_out(kw.tfidf_keywords(cleaned_documents(spark, sf_dir), pct=0.3, max_kws=12,
                                            min_kws=2, min_appear_pct=0.002, max_appear_pct=0.5))
+
+
+@register("tfidf_variants", sql=f"""WITH docs AS ({S.CLEAN_DOCS}),
+toks AS (SELECT doc_id, unnest(regexp_split_to_array(text || chr(10), '\\s')) AS token FROM docs),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY doc_id, token),
+dfs AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+mx AS (SELECT CAST(max(df) AS DOUBLE) AS m FROM dfs)
+SELECT CAST(tf.doc_id AS BIGINT) AS doc_id, tf.token, round(ln(mx.m / (1 + dfs.df)), 6) + 0.0 AS idf,
+       round((0.5 + 0.5 * tf.tf / max(tf.tf) OVER (PARTITION BY tf.doc_id)) * ln(mx.m / (1 + dfs.df)), 6) + 0.0 AS tfidf
+FROM tf JOIN dfs USING (token) CROSS JOIN mx""")
+def q_tfidf_variants(spark, sf_dir):
+    """SCL-27: the max-df idf with double-normalised tf (the commented-out forms)."""
+    s = kw.tfidf_scores(cleaned_documents(spark, sf_dir), idf="max", tf_form="double_normalized")
+    return s.select(F.col("doc_id").cast("bigint"), "token", F.round("idf", 6).alias("idf"),
+                    F.round("tfidf", 6).alias("tfidf"))

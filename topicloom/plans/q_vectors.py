@@ -42,7 +42,7 @@ def _nearest_sql(score: str, desc: bool) -> str:
 sc AS (SELECT c.cluster, v.word, {score} AS score FROM ev v, cen c),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) {order}, word) AS rank FROM sc)
 SELECT CAST(cluster AS BIGINT) AS cluster, CAST(rank AS BIGINT) AS rank, CAST(word AS BIGINT) AS word,
-       round(score, 6) AS score FROM r WHERE rank <= 10"""
+       round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10"""
 
 
 def _nearest_out(df):
@@ -85,7 +85,7 @@ def q_cluster_error_sum(spark, sf_dir):
 
 
 @register("l2_normalize", sql="""
-SELECT CAST(vec_id AS BIGINT) AS word, CAST(pos AS BIGINT) AS dim, round(x / nrm, 6) AS value FROM (
+SELECT CAST(vec_id AS BIGINT) AS word, CAST(pos AS BIGINT) AS dim, round(x / nrm, 6) + 0.0 AS value FROM (
   SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS pos, sqrt(list_dot_product(e, e)) AS nrm
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) WHERE list_dot_product(e, e) > 0)""")
 def q_l2_normalize(spark, sf_dir):

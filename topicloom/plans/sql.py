@@ -58,7 +58,7 @@ ranked AS (
          count(*) OVER (PARTITION BY doc_id) AS n_terms
   FROM sc)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(rnk AS BIGINT) AS rank, token,
-       round(tfidf, 6) AS tfidf
+       round(tfidf, 6) + 0.0 AS tfidf
 FROM ranked WHERE rnk <= {cut}"""
 
 
