@@ -48,7 +48,11 @@ def stage(spark: SparkSession, key: str, build) -> DataFrame:
     folder (reliable checkpoint): later queries read it instead of
     recomputing its lineage, and a lost executor re-reads it from there."""
     ensure_checkpoint_dir(spark)
-    k = (spark.sparkContext.applicationId, key)
+    try:
+        owner = spark._jsparkSession.sessionUUID()
+    except Exception:  # noqa: BLE001 - older sessions without a UUID
+        owner = spark.sparkContext.applicationId
+    k = (owner, key)
     if k not in _STAGES:
         _STAGES[k] = build().checkpoint(eager=True)
     return _STAGES[k]
