@@ -13,16 +13,23 @@ from topicloom.operators import runs as R
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import register
-from topicloom.plans.tables import cleaned_documents
+from topicloom.plans.tables import cleaned_documents, stage
 
 GRID_MODELS = ["lang", "source"]
 GRID_RANGE = "1..12"
 
 
+def coherence_scores(spark, sf_dir):
+    """The evaluation table (run, cluster, mean, median), written once per
+    session like the reference's evaluation files, which its ranking and
+    curve steps read instead of re-scoring."""
+    def build():
+        return coh.topic_coherence_from_docs(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir))
+    return stage(spark, f"coherence:{sf_dir}", build)
+
+
 def _scored(spark, sf_dir):
-    topics = topic_runs(spark, sf_dir)
-    scores = coh.topic_coherence_from_docs(topics, cleaned_documents(spark, sf_dir))
-    return topics, scores
+    return topic_runs(spark, sf_dir), coherence_scores(spark, sf_dir)
 
 
 RUNS_CTE = S.ctes(S.NGRAM_CTE, S.TOPICS_CTE, S.PAIRS_CTE) + """,
