@@ -78,3 +78,17 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     K.write_curves(curves, cdir)
     rows = spark.read.text(os.path.join(cdir, "embed=w2v", "variant=sph", "kind=clusters")).collect()
     assert [r[0].split()[0] for r in rows] == ["100", "200"]
+
+
+def test_line_numbers_across_many_splits(spark, tmpdir_path):
+    lines = [f"line {i} " + "x" * (i % 17) for i in range(5000)]
+    _write(tmpdir_path, "big.txt", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = R.read_lines(spark, os.path.join(tmpdir_path, "big.txt"))
+        assert spark.read.text(os.path.join(tmpdir_path, "big.txt")).rdd.getNumPartitions() > 10
+        got = {r["line_no"]: r["value"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == dict(enumerate(lines))
