@@ -92,3 +92,25 @@ def test_line_numbers_across_many_splits(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == dict(enumerate(lines))
+
+
+def test_more_sinks(spark, tmpdir_path):
+    errs = spark.createDataFrame([(0, 0.25, ["a", "b"])], "cluster int, err_mean double, words array<string>")
+    assert K.cluster_errs_csv(errs).collect()[0]["line"] == "0, 0.25, a b"
+    scores = spark.createDataFrame([("r", 0, 1.5, float("nan")), ("r", 1, 0.5, 0.5)],
+                                   "run string, cluster int, mean double, median double")
+    js = K.coherence_json(scores).collect()[0]["value"]
+    back = R.parse_json_map(F.lit(js), "struct<mean:double,median:double>")
+    m = spark.range(1).select(back.alias("m")).collect()[0]["m"]
+    assert m["0"]["mean"] == 1.5 and m["0"]["median"] != m["0"]["median"] and m["1"]["median"] == 0.5
+    ts = spark.createDataFrame([("r", 0, "2016-01-02", 3), ("r", 0, "2016-01-01", 1)],
+                               "run string, cluster int, date string, score long")
+    cl = spark.createDataFrame([("r", 0, ["x", "y"])], "run string, cluster int, words array<string>")
+    nested = K.timeseries_nested(ts, cl).collect()[0]
+    assert [s["date"] for s in nested["scores"]] == ["2016-01-01", "2016-01-02"]
+    series = spark.createDataFrame([("m1", 2, 0.5, 3), ("m1", 1, 0.1, 2), ("m2", 3, 0.7, 1)],
+                                   "model string, x long, score double, nwords long")
+    out = os.path.join(tmpdir_path, "series")
+    K.write_ranked_series(series, out)
+    rows = [r[0] for r in spark.read.text(os.path.join(out, "model=m1")).collect()]
+    assert rows == ["1 0.1 2", "2 0.5 3"]
