@@ -56,11 +56,8 @@ def positioned_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 def unigram_counts(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                    doc_id: str = "doc_id") -> DataFrame:
     """AGG-4: (token, n) windowed unigram counts."""
-    L = int(window)
-    d = _words(docs, text, doc_id)
-    rows = d.select(F.explode(F.transform(
-        "w", lambda x, i: F.struct(x.alias("token"), _token_weight(i, F.col("n"), L).alias("wt")))).alias("t"))
-    return rows.groupBy(F.col("t.token").alias("token")).agg(F.sum(F.col("t.wt").cast("long")).alias("n"))
+    rows = unigram_rows(docs, window, text, doc_id)
+    return rows.groupBy("token").agg(F.sum(F.col("wt").cast("long")).alias("n"))
 
 
 def pair_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
@@ -127,9 +124,8 @@ def unigram_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     """(token, wt): one row per token position with its window weight."""
     L = int(window)
     d = _words(docs, text, doc_id)
-    rows = d.select(F.explode(F.transform(
-        "w", lambda x, i: F.struct(x.alias("token"), _token_weight(i, F.col("n"), L).alias("wt")))).alias("t"))
-    return rows.select(F.col("t.token").alias("token"), F.col("t.wt").alias("wt"))
+    rows = d.select("n", F.posexplode("w").alias("i", "token"))
+    return rows.select("token", _token_weight(F.col("i"), F.col("n"), L).alias("wt"))
 
 
 def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
