@@ -48,7 +48,7 @@ def _pair_weight(i: Column, j: Column, n: Column, L: int) -> Column:
 
 
 def positioned_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n, i, tok, partners): one row per token with its next L-1 tokens."""
+    """(doc_id, n, i, tok): one row per token with its position and the document length."""
     d = _words(docs, text, doc_id)
     return d.select("doc_id", "n", F.posexplode("w").alias("i", "tok"))
 
@@ -140,15 +140,6 @@ def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text"
     return d.select(F.sum(per_doc).cast("double")).scalar()
 
 
-def unigram_total_value(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
-                        doc_id: str = "doc_id") -> int:
-    """``unigram_total`` computed now, as a number."""
-    L = int(window)
-    d = _words(docs, text, doc_id)
-    per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
-    return int(d.agg(F.sum(per_doc)).first()[0] or 0)
-
-
 def pair_rows_inrow(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
     """``pair_rows`` generated inside each document row (no window, no shuffle).
