@@ -93,3 +93,17 @@ def test_two_level_scans(spark):
         last = v if v is not None else last
         tot += x
         assert ff[i] == last and rs[i] == tot
+
+
+def test_two_level_concat(spark):
+    from topicloom.operators.scans import ordered_concat
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["f", "g"]), i, rnd.choice(VOCAB)) for i in range(200)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "file string, i long, t string")
+    got = {r["file"]: r["out"] for r in
+           ordered_concat(df, ["file"], ["i"], F.floor(F.col("i") / 3), "t", "|", "out").collect()}
+    want = {}
+    for f in ("f", "g"):
+        want[f] = "|".join(t for ff, i, t in sorted(rows, key=lambda r: r[1]) if ff == f)
+    assert got == want

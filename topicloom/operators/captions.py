@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import CAPTION_INDEX, CAPTION_TIMECODE, js_trim, replace_first
-from topicloom.operators.scans import band_bucket, replicate_to_next_bucket
+from topicloom.operators.scans import band_bucket, ordered_concat, replicate_to_next_bucket
 
 LOOKBACK = 20
 
@@ -43,6 +43,5 @@ def dedup_caption_lines(lines: DataFrame, lookback: int = LOOKBACK) -> DataFrame
 def captions_to_documents(lines: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """JOB-1: (file, text), the kept lines of each file concatenated in order."""
     kept = dedup_caption_lines(lines, lookback)
-    return (kept.groupBy("file")
-            .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("parts"))
-            .select("file", F.array_join(F.transform("parts", lambda s: s["text"]), "").alias("text")))
+    return ordered_concat(kept, ["file"], ["line_no"], F.floor(F.col("line_no") / F.lit(4096)),
+                          "text", "", "text")

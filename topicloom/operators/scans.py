@@ -80,3 +80,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     n = df.limit(int(max_rows) + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+                   text: str, sep: str, out: str) -> DataFrame:
+    """keys + ``out``: the ``text`` of each group joined in ``order`` with ``sep``.
+
+    Two levels: rows are joined per (keys, block) first, then the block
+    strings per group, so no task collects or sorts a group's rows; only
+    the finished string (the result itself) is one row.
+    """
+    keys, order = list(keys), list(order)
+    part = (df.withColumn("_blk", block)
+            .groupBy(*keys, "_blk")
+            .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(text).alias("_t"))))
+                 .alias("_rows"))
+            .select(*keys, "_blk", F.array_join(F.transform("_rows", lambda s: s["_t"]), sep).alias("_part")))
+    return (part.groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("_blk", "_part"))).alias("_parts"))
+            .select(*keys, F.array_join(F.transform("_parts", lambda s: s["_part"]), sep).alias(out)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import PY_WS, py_strip, said_of, speaker_of
-from topicloom.operators.scans import forward_fill
+from topicloom.operators.scans import forward_fill, ordered_concat
 
 
 def speaker_lines(lines: DataFrame, order: Sequence[str] = ("line_no",),
@@ -39,11 +39,11 @@ def speaker_text(lines: DataFrame, order: Sequence[str] = ("line_no",), sep: str
     (pass ``sep=""`` for that).
     """
     order = list(order)
+    if block is None:
+        block = F.floor(F.col(order[0]) / F.lit(4096))
     sl = speaker_lines(lines, order, block)
-    agg = (sl.groupBy("file", "speaker")
-           .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("said")))).alias("p")))
-    joined = F.array_join(F.transform("p", lambda s: s["said"]), sep)
-    return agg.select("file", "speaker", F.regexp_replace(joined, f"{PY_WS}+", " ").alias("text"))
+    joined = ordered_concat(sl, ["file", "speaker"], order, block, "said", sep, "_joined")
+    return joined.select("file", "speaker", F.regexp_replace("_joined", f"{PY_WS}+", " ").alias("text"))
 
 
 def speakers(speaker_rows: DataFrame) -> DataFrame:
