@@ -63,11 +63,11 @@ def ordinal_to_date(text: Column) -> Column:
 
 def ymd_to_mdy(ymd: Column) -> Column:
     """SCL-21: 'Y-M-D' -> 'M-D-Y' (first token of the text)."""
-    first = F.element_at(F.split(ymd, " ", -1), 1)
+    first = F.try_element_at(F.split(ymd, " ", -1), F.lit(1))
     parts = F.split(first, "-", -1)
-    return F.concat(F.coalesce(F.element_at(parts, 2), F.lit("")), F.lit("-"),
-                    F.coalesce(F.element_at(parts, 3), F.lit("")), F.lit("-"),
-                    F.element_at(parts, 1))
+    return F.concat(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("-"),
+                    F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")), F.lit("-"),
+                    F.try_element_at(parts, F.lit(1)))
 
 
 def file_name_date(name: Column) -> Column:

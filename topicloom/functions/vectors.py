@@ -33,13 +33,15 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """SCL-31."""
-    return dot(a, b) / (norm(a) * norm(b))
+    """SCL-31; null when either vector is zero."""
+    d = norm(a) * norm(b)
+    return F.when(d > 0, dot(a, b) / d)
 
 
 def abs_cosine_similarity(a: Column, b: Column) -> Column:
     """SCL-30: |cos| (the reference's "cosine error": larger means closer)."""
-    return F.abs(dot(a, b)) / (norm(a) * norm(b))
+    d = norm(a) * norm(b)
+    return F.when(d > 0, F.abs(dot(a, b)) / d)
 
 
 def cosine_error(a: Column, b: Column) -> Column:

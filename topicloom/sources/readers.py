@@ -67,7 +67,7 @@ def parse_word_vector_lines(lines: DataFrame, value: str = "value") -> DataFrame
     parts = F.split(F.trim(F.col(value)), r"\s+", -1)
     return (lines.filter(~F.col(value).rlike(HEADER_ROW) & (F.trim(F.col(value)) != ""))
             .select(F.element_at(parts, 1).alias("word"),
-                    F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.cast("float")).alias("features")))
+                    F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.try_cast("float")).alias("features")))
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +79,9 @@ def parse_topic_csv(lines: DataFrame, value: str = "value", order: str = "line_n
     repeated id wins (per ``keys``, e.g. the file or run)."""
     f = lines.filter(F.trim(F.col(value)) != "")
     parts = F.split(F.col(value), ",", 2)
-    words = F.filter(F.split(F.trim(F.element_at(parts, 2)), r"\s+", -1), lambda x: x != "")
-    rows = f.select(*keys, F.trim(F.element_at(parts, 1)).alias("cluster"), words.alias("words"), order)
+    words = F.filter(F.split(F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))), r"\s+", -1),
+                     lambda x: x != "")
+    rows = f.select(*keys, F.trim(F.try_element_at(parts, F.lit(1))).alias("cluster"), words.alias("words"), order)
     return rows.groupBy(*keys, "cluster").agg(F.max_by("words", order).alias("words"))
 
 
