@@ -78,7 +78,7 @@ def file_name_date(name: Column) -> Column:
 
 def iso_to_epoch(d: Column) -> Column:
     """SCL-40: ISO date -> epoch seconds (session time zone, UTC by default)."""
-    return F.unix_timestamp(F.to_timestamp(d))
+    return F.unix_timestamp(F.try_to_timestamp(d))
 
 
 def with_title_date(df, title: str, ymd: str = "ymd", date: str = "date", min_year: int = MIN_YEAR):
