@@ -179,3 +179,24 @@ def test_rank_combined_merges_runs(spark):
     assert len(c) == 1 and c[0]["runs"] == ["m-1", "m-2"]
     r = runs.rank_all(scores, clusters).orderBy("rank").collect()
     assert [x["rank"] for x in r] == [1, 2] and [x["run"] for x in r] == ["m-1", "m-2"]
+
+
+def test_weekly_views(spark):
+    ts = spark.createDataFrame([("r", 0, "2016-01-04", 2), ("r", 0, "2016-01-06", 1), ("r", 1, "2016-01-20", 5)],
+                               "run string, cluster int, date string, score long") \
+        .withColumn("date", F.col("date").cast("date"))
+    wk = {(r["cluster"], str(r["week"])): r["score"] for r in timeseries.weekly(ts).collect()}
+    assert wk == {(0, "2016-01-10"): 3, (1, "2016-01-24"): 5}
+    wide = {str(r["week"]): (r["0"], r["1"]) for r in timeseries.weekly_wide(ts).collect()}
+    assert wide == {"2016-01-10": (3, 0), "2016-01-17": (0, 0), "2016-01-24": (0, 5)}
+
+
+def test_debate_list_dates(spark, tmpdir_path):
+    import os
+    from topicloom.sources import readers as R
+    p = os.path.join(tmpdir_path, "list.txt")
+    with open(p, "w") as f:
+        f.write("August 6th, 2015|Cleveland, Ohio|http://x/1\nSeptember 22nd, 2015|Simi Valley|http://x/2\n")
+    df = R.read_debate_list(spark, p)
+    got = [str(r[0]) for r in df.select(D.ordinal_to_date(F.col("date"))).collect()]
+    assert got == ["2015-08-06", "2015-09-22"] and df.columns == ["date", "location", "url"]
