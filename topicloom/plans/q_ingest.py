@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.functions import dates as D
-from topicloom.functions.text import html_paragraphs, html_to_text
+from topicloom.functions.text import clean_text, html_paragraphs, html_to_text
 from topicloom.operators import captions as cap
 from topicloom.operators import speakers as spk
 from topicloom.operators.dates import date_titles
 from topicloom.plans.derive import caption_lines, order_titles, transcript_lines
+from topicloom.plans import sql as S
 from topicloom.plans.registry import register
 from topicloom.plans.tables import table
 
@@ -257,3 +258,11 @@ def q_file_dates(spark, sf_dir):
     t = order_titles(spark, sf_dir)
     t = t.filter(F.col("title").rlike(r"[0-9]+[^\n][0-9]+[^\n][0-9]+") & ~F.col("title").contains(".en."))
     return t.select(F.col("o_orderkey").cast("bigint"), D.file_name_date(F.col("title")).alias("mdy"))
+
+
+@register("html_documents", sql=f"""
+SELECT CAST(page_id AS BIGINT) AS page_id, {S.clean_sql(_html_text_sql('html'))} AS text FROM pages""")
+def q_html_documents(spark, sf_dir):
+    """JOB-2c end to end: pages -> plain text -> the cleaning chain (one document per page)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").cast("bigint"), clean_text(html_to_text(F.col("html"))).alias("text"))

@@ -97,3 +97,17 @@ def q_tfidf_variants(spark, sf_dir):
     s = kw.tfidf_scores(cleaned_documents(spark, sf_dir), idf="max", tf_form="double_normalized")
     return s.select(F.col("doc_id").cast("bigint"), "token", F.round("idf", 6).alias("idf"),
                     F.round("tfidf", 6).alias("tfidf"))
+
+
+@register("positional_index", sql=S.with_clean("""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, token, array_to_string(list(pos ORDER BY pos), ' ') AS positions FROM (
+  SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM docs))
+GROUP BY doc_id, token"""))
+def q_positional_index(spark, sf_dir):
+    """SCL-38 / D16: word -> positions per document (the time series' index)."""
+    d = cleaned_documents(spark, sf_dir)
+    t = d.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    g = t.groupBy("doc_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    return g.select(F.col("doc_id").cast("bigint"), "token",
+                    F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("positions"))
