@@ -29,3 +29,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", *(F.col(f"quality.{c}") for c in (
         *quality.BASE, "whole_ratio", "n_chunks", "n_bad_chunks", "base_failed", "band_failed", "kept")))
+
+
+@query("op10_fast_similarity_sketch")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import sketch
+
+    return sketch.classes(table(spark, sf_dir, "documents"), s=sketch.CONTRACT)
