@@ -36,3 +36,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import sketch
 
     return sketch.classes(table(spark, sf_dir, "documents"), s=sketch.CONTRACT)
+
+
+@query("op1_spaced_seeds")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import decontaminate
+
+    return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
