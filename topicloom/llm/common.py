@@ -112,15 +112,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor's work is read again instead of computed again."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the folder behind a table of ``written`` that is read no more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Tables that are read only inside a with block, deleted at its end."""
+
+    def __enter__(self):
+        self.made = []
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(written(df, name))
+        return self.made[-1]
+
+    def __exit__(self, *error):
+        for df in self.made:
+            dropped(df)
 
 
 def numbered(df: DataFrame, key: str, order: list[str], out: str, blocks: int = 64) -> DataFrame:

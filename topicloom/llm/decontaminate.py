@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import Words, mix, slices, text_of, written
+from topicloom.llm.common import Tables, Words, mix, slices, text_of, written
 
 #: Weight 6 each: a run of six, one substitution in every five, four or three words, and an irregular one.
 MASKS = ("111111", "1111011", "1110111", "11011011", "1101011001")
@@ -176,8 +176,13 @@ def text_key(text_col: str = "text") -> Column:
 
 def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
              item_text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Every found item: (key, item, start, length, matched, item_words), by
-    the document's text key; start and length in words of the document."""
+    """Every found item: (key, item_key, item, start, length, matched,
+    item_words), by the document's text key; start and length in its words."""
+    with Tables() as tables:
+        return written(_overlaps(docs, items, text_col, item_id, item_text, filter_bits, tables.written), "overlaps")
+
+
+def _overlaps(docs, items, text_col, item_id, item_text, filter_bits, written) -> DataFrame:
     spark = docs.sparkSession
     item_table = written(item_seeds(items, item_id, item_text), "items")
     shared = spark.sparkContext.broadcast(seed_filter(item_table, filter_bits))
@@ -208,7 +213,7 @@ def verdicts(docs: DataFrame, items: DataFrame, text_col: str = "text", **column
                     F.struct("matched", F.col("item_key"), (-F.col("start")).alias("early")))
     found = overlaps(docs, items, text_col, **columns).groupBy("key").agg(
         F.count_distinct("item_key").alias("n_items"), best.alias("best"))
-    return written(found.select("key", "n_items", "best.*"), "contaminated")
+    return found.select("key", "n_items", "best.*")
 
 
 def marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

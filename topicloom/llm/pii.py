@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import Words, slices, text_of, written
+from topicloom.llm.common import Tables, Words, slices, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -181,7 +181,7 @@ def text_key(text_col: str = "text") -> Column:
     return F.md5(F.encode(text_of(text_col), "UTF-8"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure, written) -> DataFrame:
     """(entity, term, disclosure) at or over the lower threshold.
 
     ``found``: (key, near) of all documents."""
@@ -209,9 +209,14 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure)
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d: Disclosure = Disclosure()) -> DataFrame:
     """(doc_id, key, base, terms) per row: base spans by kind and start; terms:
     spans (start, end, disclosure) that the method adds."""
+    with Tables() as tables:
+        return written(_spans(docs, id_col, text_col, d, tables.written), "spans")
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, d: Disclosure, written) -> DataFrame:
     found = written(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"),
                                 scanned(d.reach)(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*"), "found")
-    telling = written(disclosing(found.select("key", "near"), docs, text_col, d), "disclosing")
+    telling = written(disclosing(found.select("key", "near"), docs, text_col, d, written), "disclosing")
     near = found.filter("size(near) > 0").select("key", F.explode("near").alias("m")).select("key", "m.*")
     added = (near.join(telling, ["entity", "term"]).groupBy("key", "start", "end")
              .agg(F.max("disclosure").alias("disclosure")).groupBy(F.col("key").alias("_key"))

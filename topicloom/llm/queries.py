@@ -54,3 +54,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
          for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *n, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"),
                         pii.spelled(F.col("base"), F.col("terms")).alias("spans"))
+
+
+@query("op3_swap_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import Words, dropped, mix, slices, window_hashes, written
+from topicloom.llm.common import Tables, Words, mix, slices, window_hashes, written
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,7 @@ def rare_first(percent: int):
     return prefix
 
 
-def contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def contracted(nodes: DataFrame, links: DataFrame, written) -> DataFrame:
     """(id, comp): the smallest id reachable, by the links (a, b).
 
     Every round each node takes the smallest label among its neighbours and
@@ -169,7 +169,6 @@ def contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("_at"), F.col("comp").alias("_far"))
         new = written(step.join(jump, step.comp == jump._at, "left")
                       .select("id", "_old", F.least("comp", "_far").alias("comp")), "labels")
-        dropped(labels)
         changed = new.filter(F.col("comp") != F.col("_old")).limit(1).count()
         labels = new.select("id", "comp")
         if not changed:
@@ -180,6 +179,11 @@ def contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``."""
+    with Tables() as tables:
+        return written(_classes(docs, id_col, text_col, s, tables.written), "classes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, s: Sketching, written) -> DataFrame:
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(base.select("doc_id", sketched(s)("text").alias("s")).select("doc_id", "s.*"), "sketches")
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
@@ -208,22 +212,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
     first = written(base.join(wanted, base.doc_id == wanted.id, "left_semi")
                     .select(F.col("doc_id").alias("id"), full_sets(s)("text").alias("items")).distinct(), "sets")
     linked = written(confirmed(pairs, first, s).unionByName(same_id), "linked")
-    comps = written(contracted(ids, linked), "components")
+    comps = written(contracted(ids, linked, written), "components")
 
     # 3. what several components of a bucket may still share
     open_ids = still_open(member, comps)
     left = written(first.join(open_ids, "id").select("id", "comp", "items"), "open")
-    linked2 = written(confirmed(rare_pairs(left, s), first, s).unionByName(linked), "linked")
-    comps2 = contracted(ids, linked2)
+    linked2 = written(confirmed(rare_pairs(left, s, written), first, s).unionByName(linked), "linked")
+    comps2 = contracted(ids, linked2, written)
 
     final = named.distinct().join(comps2, "id").groupBy(F.col("doc_id").alias("_doc")).agg(
         F.min("comp").alias("component"))
-    out = (rows.select("doc_id", "n", "node").join(
+    return (rows.select("doc_id", "n", "node").join(
         final, F.when(F.col("node").isNotNull(), F.col("doc_id")) == F.col("_doc"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    return written(out, "classes")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Sketching) -> DataFrame:
@@ -243,7 +246,7 @@ def still_open(member: DataFrame, comps: DataFrame) -> DataFrame:
     return in_bucket.join(mixed.select("bucket"), "bucket", "left_semi").select("id", "comp").distinct()
 
 
-def rare_pairs(left: DataFrame, s: Sketching) -> DataFrame:
+def rare_pairs(left: DataFrame, s: Sketching, written) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles."""
     @arrow_udf("array<bigint>")
     def unpacked(items: pa.Array) -> pa.Array:
