@@ -22,8 +22,8 @@ No task sees all pairs of a group:
 3. Nodes of buckets that still hold several components are compared through
    their rarest shingles: sets over the threshold must share one of the
    first n - ceil(threshold * n) + 1 shingles in any common order, rare ones
-   first (prefix filtering). It is exact, so nothing is capped, and pairs
-   inside a component aren't formed at all.
+   first (prefix filtering), and most of them when sizes are alike. It is
+   exact, so nothing is capped, and pairs inside a component aren't formed.
 
 Defined cases: null text is empty; a text of fewer words than a shingle is
 one shingle; a text without words has no shingle, links with nothing and is
@@ -247,29 +247,60 @@ def still_open(member: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def rare_pairs(left: DataFrame, s: Sketching, written) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles."""
+    """Pairs (a, b) of different components that share one of their rarest
+    shingles, and may share enough of them: 512 bits of each prefix bound what
+    two sets have in common from above, so no pair over the threshold is lost."""
     @arrow_udf("array<bigint>")
     def unpacked(items: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(x, np.int64) for x in items.to_pylist()], pa.list_(pa.int64()))
 
-    each = left.select("id", "comp", F.length("items").alias("_size"), F.explode(unpacked("items")).alias("shingle"))
+    each = left.select("id", "comp", F.length("items").alias("_size"), F.xxhash64("items").alias("_set"), F.explode(unpacked("items")).alias("shingle"))
     # a shingle that one node alone has can't be shared; it only takes its place in the order
     df = each.groupBy("shingle").agg(F.count_distinct("id").alias("df"), F.min("comp").alias("_a"),
                                      F.max("comp").alias("_b")).filter("df > 1")
-    useful = (each.join(df, "shingle").groupBy("id", "comp", "_size")
+    useful = (each.join(df, "shingle").groupBy("id", "comp", "_size", "_set")
               .agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("_a") != F.col("_b")).alias("mixed"))))
                    .alias("common")))
     n = F.col("_size") / 8
-    alone = n - F.size("common")
-    room = (n - F.ceil(n * s.percent / 100) + 1 - alone).cast("int")
-    heads = (useful.filter(room > 0).select("id", "comp", n.alias("n"),
-                                            F.explode(F.slice("common", F.lit(1), room)).alias("c"))
-             .filter("c.mixed").select("id", "comp", "n", F.col("c.shingle").alias("shingle")))
-    heads = written(heads, "heads")
-    a = heads.select("shingle", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = heads.select("shingle", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent
-    return a.join(b, "shingle").filter((F.col("ca") < F.col("cb")) & close).select("a", "b").distinct()
+    prefix = n - F.ceil(n * s.percent / 100) + 1
+    room = (prefix - (n - F.size("common"))).cast("int")
+    own = (useful.filter(room > 0).withColumn("head", F.slice("common", F.lit(1), room))
+           .select("id", "comp", n.alias("n"), (n - prefix).alias("beyond"), F.element_at("head", -1).alias("last"),
+                   F.filter("head", lambda c: c["mixed"]).alias("head"))
+           .withColumn("bits", marks()(F.transform("head", lambda c: c["shingle"]))))
+    heads = written(own.select("id", "comp", "n", "beyond", F.struct("last.df", "last.shingle").alias("last"), "bits",
+                               F.explode(F.transform("head", lambda c: c["shingle"])).alias("shingle")), "heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    # sets over the threshold share at least this many
+    least = (x("n") + y("n")) * s.percent / (100 + s.percent) - 1e-6
+    close = (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * s.percent) & (x("comp") < y("comp"))
+    shared = sum(F.bit_count(x(f"bits.b{k}").bitwiseAND(y(f"bits.b{k}"))) for k in range(CELLS))
+    # the set whose prefix ends first shares nothing with the other outside both prefixes but what lies beyond its own
+    bound = F.when(x("last") <= y("last"), shared + x("bits.twice") + x("beyond")).otherwise(
+        shared + y("bits.twice") + y("beyond"))
+    return (a.join(b, "shingle").filter(close & (bound >= least))
+            .select(x("id").alias("a"), y("id").alias("b")).distinct())
+
+
+CELLS = 8
+
+
+def marks():
+    """shingles -> 512 bits with one set by each (b0 to b7), and how many shingles met a bit already set."""
+    @arrow_udf("struct<" + ",".join(f"b{k}:bigint" for k in range(CELLS)) + ",twice:int>")
+    def make(heads: pa.Array) -> pa.Array:
+        rows, twice = [], []
+        for own in heads.to_pylist():
+            spot = np.unique(mix(np.asarray(own, np.int64).view(np.uint64)) % np.uint64(64 * CELLS))
+            cells = np.zeros(CELLS, np.uint64)
+            np.bitwise_or.at(cells, (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+            rows.append(cells.view(np.int64))
+            twice.append(len(own) - len(spot))
+        table = np.array(rows, np.int64).reshape(-1, CELLS)
+        return pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(CELLS)] + [pa.array(twice, pa.int32())],
+                                          [f"b{k}" for k in range(CELLS)] + ["twice"])
+    return make
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
