@@ -61,3 +61,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import packing
 
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op7_weighted_hash_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import sharding
+
+    return sharding.sharded(table(spark, sf_dir, "documents"), sharding.tree(4, 2, 5))
