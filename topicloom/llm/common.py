@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into word arrays at a time (a longer text
 #: is worked on whole, by itself).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)

@@ -68,3 +68,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import sharding
 
     return sharding.sharded(table(spark, sf_dir, "documents"), sharding.tree(4, 2, 5))
+
+
+@query("op2_segment_reassembly")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
