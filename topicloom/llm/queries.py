@@ -108,3 +108,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                       F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                       F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "complete")
+
+
+@query("op9_subword_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import subword
+
+    return subword.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
