@@ -26,7 +26,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -34,10 +34,13 @@ from pyspark.sql.functions import arrow_udf
 from topicloom.llm.common import Tables, Words, numbered, slices, written
 
 LENGTH = 2048
-SPECIAL = r"<\|startoftext\|>|<\|endoftext\|>"
-# fixed value: the vocabulary file's own rule for the pieces of a word
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_EASY = regex.compile(r"[\x21-\x7e¡-ɏ]+")
+# What the vectorised split below doesn't cover: the vocabulary's two special strings, letters beyond the Latin blocks
+# (their case and composition rules depend on neighbours), and the stand-in for an apostrophe.
+_HARD = r"<\|startoftext\|>|<\|endoftext\|>|[^\x{00}-\x{24F}]|\x{130}|\x02"
+# fixed values: the vocabulary file's own rule for the pieces of a word ('s 't 're 've 'm 'll 'd, letters, a digit, other marks)
+_ENDING = r"(^|[\s\p{L}\p{N}])'(s|t|re|ve|m|ll|d)"
+_DIGIT = r"(\p{N})"
+_MARKS = r"([^\s\p{L}\p{N}\x02]+)"
 
 
 def vocabulary_path() -> str:
@@ -46,12 +49,13 @@ def vocabulary_path() -> str:
 
 
 class Ids:
-    """Token ids of whole texts, the ids of each distinct word taken from the
-    tokenizer once. White space always ends a piece in this vocabulary, so a
-    text's ids are those of its words in turn."""
+    """Token ids of whole texts. Texts are split into the vocabulary's pieces
+    (white space always ends one), and each distinct piece is tokenized once:
+    known pieces are kept as sorted hashes with their ids, so the table stays
+    small and a slice is looked up at once."""
 
     kept: dict[str, "Ids"] = {}
-    ROOM = 400_000
+    ROOM = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,8 +64,12 @@ class Ids:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> "Ids":
@@ -73,56 +81,72 @@ class Ids:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words not seen before."""
-        parts, hard = {}, []
-        for w in words:
-            if _EASY.fullmatch(w):
-                low = w.lower()
-                parts[w] = [low] if low.isalpha() else _PIECES.findall(low)
-            else:
-                hard.append(w)
-        new = sorted({p for ps in parts.values() for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(new) > self.ROOM:
-            self.pieces = {}
-            new = sorted({p for ps in parts.values() for p in ps})
-        # many pieces in one text: the closing token of each shows where it ends
-        texts = [new[k:k + 512] for k in range(0, len(new), 512)]
-        for own, ids in zip(texts, self._encode([" ".join(t) for t in texts])):
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of single pieces: many in one text, the closing token of each shows where it ends."""
+        flat, size = [], []
+        groups = [pieces[k:k + 512] for k in range(0, len(pieces), 512)]
+        for own, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(own):
-                self.pieces.update((p, i.tobytes()) for p, i in zip(own, self._encode(own)))
-                continue
-            for p, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.pieces[p] = ids[a:b].tobytes()
-        found = {w: b"".join([self.pieces[p] for p in ps]) for w, ps in parts.items()}
-        found.update((w, i.tobytes()) for w, i in zip(hard, self._encode(hard)))
-        return found
-
-    def texts(self, part: pa.Array):
+                each = self._encode(own)
+                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            flat.append(ids)
+            size.append(np.diff(ends, prepend=0))
+        return np.concatenate(flat), np.concatenate(size).astype(np.int32)
+
+    def _known(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size) in ``flat`` of every piece, learning those that are new."""
+        raw = vocabulary.cast(pa.binary()).to_pylist()
+        key = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        check = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.uint32, len(raw))
+        if len(self.size) > self.ROOM:
+            self.forget()
+        at = np.searchsorted(self.key, key)
+        near = np.minimum(at, max(len(self.key) - 1, 0))
+        new = np.flatnonzero((self.key[near] != key) | (self.check[near] != check)) if len(self.key) else np.arange(len(raw))
+        if len(new):
+            new = new[np.argsort(key[new])]
+            ids, size = self._pieces([raw[k].decode() for k in new])
+            first = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
+            self.flat = np.concatenate([self.flat, ids])
+            for name, more in (("key", key[new]), ("check", check[new]), ("first", first), ("size", size)):
+                setattr(self, name, np.insert(getattr(self, name), at[new], more))
+            at = np.searchsorted(self.key, key)
+        return self.first[at], self.size[at]
+
+    def _easy(self, part: pa.Array) -> list[np.ndarray]:
+        low = pc.utf8_lower(pc.replace_substring_regex(part, "[\\x{0B}\\x{85}\\x{A0}]", " "))
+        if pc.any(pc.match_substring(low, "'")).as_py():
+            for _ in range(2):  # neighbouring ones share the character between them
+                low = pc.replace_substring_regex(low, _ENDING, "\\1 \x02\\2 ")
+        low = pc.replace_substring_regex(low, _DIGIT, " \\1 ")
+        low = pc.replace_substring(pc.replace_substring_regex(low, _MARKS, " \\1 "), "\x02", "'")
+        w = Words(low)
+        if not len(w.codes):
+            return [np.zeros(0, np.uint32)] * len(part)
+        first, size = self._known(w.vocabulary)
+        per = size[w.codes]
+        ends = np.concatenate([[0], np.cumsum(per)])
+        take = np.repeat(first[w.codes] - ends[:-1], per)
+        take += np.arange(ends[-1])
+        ids = self.flat[take]
+        return np.split(ids, ends[w.bounds[1:-1]])
+
+    def _whole(self, text: str) -> np.ndarray:
+        """A text word by word, equal words once."""
+        if "<|startoftext|>" in text or "<|endoftext|>" in text:
+            return self._encode([text])[0]
+        words = text.encode().split()
+        own = sorted(set(words))
+        ids = dict(zip(own, self._encode([w.decode() for w in own])))
+        return np.concatenate([ids[w] for w in words]) if words else np.zeros(0, np.uint32)
+
+    def texts(self, part: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a slice."""
         part = pc.fill_null(part.cast(pa.string()), "")
-        special = np.flatnonzero(pc.match_substring_regex(part, SPECIAL).to_numpy(zero_copy_only=False))
-        w = Words(part)
-        own = w.vocabulary.to_pylist()
-        missing = [x for x in own if x not in self.words]
-        found = self._learn(missing)
-        if len(self.words) + len(found) > self.ROOM:
-            known, self.words = self.words, {}
-        else:
-            known = self.words
-        raw = [found[x] if x in found else known[x] for x in own]
-        self.words.update((x, i) for x, i in found.items() if len(x) < 64)
-        flat = np.frombuffer(b"".join(raw), np.uint32)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        first = np.cumsum(sizes) - sizes
-        per = sizes[w.codes] if len(own) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(per)])
-        take = np.repeat(first[w.codes] - ends[:-1], per) + np.arange(ends[-1]) if len(per) else np.zeros(0, np.int64)
-        ids = flat[take]
-        again = dict(zip(special.tolist(), self._encode([part[int(k)].as_py() for k in special])))
-        for i, (a, b) in enumerate(zip(ends[w.bounds[:-1]], ends[w.bounds[1:]])):
-            yield again[i] if i in again else ids[a:b]
+        hard = pc.match_substring_regex(part, _HARD)
+        easy = iter(self._easy(part.filter(pc.invert(hard))))
+        return [self._whole(t.as_py()) if h else next(easy) for h, t in zip(hard.to_pylist(), part)]
 
 
 def cut(path: str, length: int, with_ids: bool = False):
