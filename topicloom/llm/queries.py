@@ -115,3 +115,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import subword
 
     return subword.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query("op4_site_style_tree")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import html_tree
+
+    return html_tree.extracted(table(spark, sf_dir, "pages"))
