@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,24 +41,25 @@ def test_base_spans(text):
 
 def brute(rows, d):
     """Spans that the method adds per text, from the definition."""
-    texts = {t or "" for _, t in rows}
-    near, having, entity = defaultdict(set), defaultdict(set), defaultdict(set)
+    texts = [t or "" for _, t in rows]
+    near, having, entity, different = Counter(), Counter(), Counter(), defaultdict(set)
     for t in texts:
-        for w in re.findall("[^\x20\x09-\x0D]+", t):
-            having[pii.term_of(w)].add(t)
-        for e, term, _, _ in pii.near_terms(t, pii.base_spans(t), d.reach):
-            near[e, term].add(t)
-            entity[e].add(t)
+        having.update({pii.term_of(w) for w in re.findall("[^\x20\x09-\x0D]+", t)})
+        found = {(e, term) for e, term, _, _ in pii.near_terms(t, pii.base_spans(t), d.reach)}
+        near.update(found)
+        entity.update({e for e, _ in found})
+        for pair in found:
+            different[pair].add(t)
     n = len(texts)
     score = {}
     for (e, term), seen in near.items():
-        ic = math.log(n / len(entity[e]))
-        if len(seen) >= d.support and ic > 0:
-            v = math.log(n * len(seen) / len(having[term]) / len(entity[e])) / ic
+        ic = math.log(n / entity[e])
+        if len(different[e, term]) >= d.support and ic > 0:
+            v = math.log(n * seen / having[term] / entity[e]) / ic
             if v >= d.generalise_at:
                 score[e, term] = v
     return {t: sorted({(a, b) for e, term, a, b in pii.near_terms(t, pii.base_spans(t), d.reach) if (e, term) in score})
-            for t in texts}
+            for t in set(texts)}
 
 
 def test_corpus(spark):

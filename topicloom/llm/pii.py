@@ -3,20 +3,20 @@
 Four patterns give the base spans (email, ip, card, phone). Each distinct
 value found is a protected entity. A term near it (a word within ``reach``
 words) may give it away even when the value itself is gone, so the corpus is
-asked how much it reveals: with document counts over the N distinct texts,
+asked how much it reveals: with counts over the N documents,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = ln(N * n_both / (n_term * n_entity)) / ln(N / n_entity)
 
 which is 1 where the term occurs nowhere but near the entity and 0 where
-they are independent. n_both counts texts with the term near the entity,
-n_term texts with the term anywhere. Pairs seen in fewer than ``support``
-texts aren't estimated. At ``generalise_at`` a term near that entity becomes
-a span and is replaced by its kind of word, at ``remove_at`` it is removed.
+they are independent. n_both counts documents with the term near the entity,
+n_term those with the term anywhere. Pairs seen in fewer than ``support``
+different texts aren't estimated. At ``generalise_at`` a term near that
+entity becomes a span and is replaced by its kind of word, at ``remove_at``
+it is removed.
 
-All counts are over whole texts of the whole corpus; equal texts count once.
-n_term is counted only for terms that occur near an entity: these pass a
-filter of fixed size and are then joined exactly.
+All counts are over whole texts of the whole corpus. n_term is counted only
+for terms of pairs with support; these pass a filter of fixed size, a task sums what it has read, and the sums are joined exactly.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; spans of different kinds may overlap, overlapping ones are
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,23 +146,36 @@ def scanned(reach: int):
     return scan
 
 
-def present_terms(shared, bits: int):
-    """text -> its distinct terms whose hash is in the filter."""
-    @arrow_udf("array<string>")
-    def present(texts: pa.Array) -> pa.Array:
-        cells, out = shared.value, []
-        for _, part in slices(texts):
-            w = Words(part)
-            terms = [term_of(x) for x in w.vocabulary.to_pylist()]
-            spot = np.fromiter((xxhash.xxh3_64_intdigest(t) & ((1 << bits) - 1) for t in terms), np.int64, len(terms))
-            good = (cells[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 if len(spot) else np.zeros(0, np.uint8)
-            good = good.astype(bool) & np.fromiter(map(bool, terms), bool, len(terms))
-            hits = np.flatnonzero(good[w.codes]) if len(w.codes) else np.zeros(0, np.int64)
-            ends = np.searchsorted(hits, w.bounds)
-            for a, b in zip(ends[:-1], ends[1:]):
-                out.append(sorted({terms[c] for c in np.unique(w.codes[hits[a:b]])}) if b > a else None)
-        return pa.array(out, pa.list_(pa.string()))
-    return present
+def term_counts(shared, bits: int):
+    """Batches of texts -> (term, documents with it) of terms whose hash is in the filter, summed per task."""
+    def count(batches):
+        cells, total = shared.value, Counter()
+
+        def told():
+            return pa.RecordBatch.from_pydict({"term": list(total), "n": list(total.values())},
+                                              pa.schema([("term", pa.string()), ("n", pa.int64())]))
+
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                w = Words(part)
+                if not len(w.codes):
+                    continue
+                terms = [term_of(x) for x in w.vocabulary.to_pylist()]
+                spot = np.fromiter((xxhash.xxh3_64_intdigest(t) & ((1 << bits) - 1) for t in terms), np.int64, len(terms))
+                good = ((cells[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+                good &= np.fromiter(map(bool, terms), bool, len(terms))
+                # several words may be one term (case, marks); a text counts once for it
+                number = {t: k for k, t in enumerate(dict.fromkeys(t for t, g in zip(terms, good) if g))}
+                code = np.fromiter((number[t] if g else -1 for t, g in zip(terms, good)), np.int64, len(terms))[w.codes]
+                here = np.flatnonzero(code >= 0)
+                once = np.unique(w.owners()[here] * max(len(number), 1) + code[here]) % max(len(number), 1)
+                n = np.bincount(once, minlength=len(number))
+                total.update(dict(zip(number, n.tolist())))
+            if len(total) > 300_000:
+                yield told()
+                total.clear()
+        yield told()
+    return count
 
 
 def term_filter(terms: DataFrame, bits: int) -> np.ndarray:
@@ -186,24 +200,24 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure,
 
     ``found``: (key, near) of all documents."""
     spark = docs.sparkSession
-    near = found.filter("size(near) > 0").select("key", F.explode("near").alias("m")).select(
-        "key", "m.entity", "m.term").distinct()
-    near = written(near, "near")
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= d.support)
-    both = written(both, "both")
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = F.array_distinct(F.transform("near", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))
+    having = found.filter("size(near) > 0")
+    near = written(having.select("key", F.explode(pairs).alias("m")).groupBy("key", "m.entity", "m.term")
+                   .agg(F.count("*").alias("n")), "near")
+    both = (near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+            .filter(F.col("texts") >= d.support))
+    entities = (having.select(F.explode(F.array_distinct(F.transform("near", lambda m: m["entity"]))).alias("entity"))
+                .groupBy("entity").agg(F.count("*").alias("n_entity")))
+    n = F.lit(float(found.count()))
+    ic = F.log(n / F.col("n_entity"))
+    both = written(both.join(entities, "entity").filter(ic > 0), "both")
     terms = both.select("term").distinct()
     shared = spark.sparkContext.broadcast(term_filter(terms, d.filter_bits))
-    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    having = (texts.select("key", present_terms(shared, d.filter_bits)("text").alias("terms")).filter("terms IS NOT NULL")
-              .select("key", F.explode("terms").alias("term")).distinct())
-    counts = having.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.select("key").distinct().agg(F.count("*").cast("double").alias("n")).first()["n"]
-    n = F.lit(total)
-    ic = F.log(n / F.col("n_entity"))
+    counts = (docs.select(F.col(text_col).alias("text")).mapInArrow(term_counts(shared, d.filter_bits), "term string, n bigint")
+              .groupBy("term").agg(F.sum("n").alias("n_term")))
     pmi = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return (both.join(entities, "entity").join(counts, "term").filter(ic > 0)
-            .select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= d.generalise_at))
+    return (both.join(counts, "term").select("entity", "term", (pmi / ic).alias("disclosure"))
+            .filter(F.col("disclosure") >= d.generalise_at))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d: Disclosure = Disclosure()) -> DataFrame:
