@@ -20,6 +20,7 @@ rows; other columns are left alone.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
@@ -34,6 +35,8 @@ from pyspark.sql.functions import arrow_udf
 from topicloom.llm.common import Tables, Words, numbered, slices, written
 
 LENGTH = 2048
+#: Bytes of text turned into ids at a time.
+SLICE = 2 << 20
 # What the vectorised split below doesn't cover: the vocabulary's two special strings, letters beyond the Latin blocks
 # (their case and composition rules depend on neighbours), and the stand-in for an apostrophe.
 _HARD = r"<\|startoftext\|>|<\|endoftext\|>|[^\x{00}-\x{24F}]|\x{130}|\x02"
@@ -55,9 +58,11 @@ class Ids:
     small and a slice is looked up at once."""
 
     kept: dict[str, "Ids"] = {}
-    ROOM = 1_500_000
+    ROOM = 1_200_000
 
     def __init__(self, path: str):
+        # one task, one thread: Spark spreads the work, and every thread would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
@@ -158,7 +163,7 @@ def cut(path: str, length: int, with_ids: bool = False):
         source = Ids.of(path)
         rows = [0]
         starts, lengths, crcs, ids = [], [], [], []
-        for _, part in slices(texts):
+        for _, part in slices(texts, SLICE):
             for own in source.texts(part):
                 own = np.append(own, np.uint32(0)).astype("<u4", copy=False)
                 for k in range(0, len(own), length):
