@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import new_folder
+from topicloom.llm.common import new_folder, written
 
 END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -108,6 +108,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk
     known = (page.filter(long).select("digest", "page_id", "url", "record_id").groupBy("digest")
              .agg(F.max(F.struct("page_id", "url", "record_id")).alias("r"), F.count("*").alias("n")).filter("n > 1")
              .select(F.col("digest").alias("_digest"), F.col("r.record_id").alias("_response")))
+    # as a table its size is known before the join: a small one is broadcast and no payload is shuffled
+    known = written(known, "responses")
     both = page.join(known, long & (F.col("digest") == F.col("_digest")), "left")
     refers = F.when(F.col("_response") != F.col("record_id"), F.col("_response"))
 
@@ -231,6 +233,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         "record_id", "page_id", "url", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"), F.lit("response").alias("record_type"),
         F.lit(None).cast("bigint").alias("refers_to"), "segments", "status")
+    response = written(response, "payloads")
     target = response.groupBy(F.col("record_id").alias("_id")).agg(
         F.first(F.struct("page_id", "payload_bytes", "payload_digest", "status")).alias("t"))
     revisit = (found.filter("type = 'revisit'").select("record_id", "page_id", "url", "refers_to", "digest")
