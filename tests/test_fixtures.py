@@ -66,11 +66,11 @@ def test_prefix_join(spark):
 def test_title_dates(spark):
     cases = [("Rally (1-4-16) x", "2016-01-04", "2016-01-04"), ("R 14-3-2016", "2016-03-14", "2016-03-14"),
              ("10,000 Plus (1-4-16)", None, None), ("8.22.2013", None, None),
-             ("2.30.2016", "2016-02-30", None), ("none", None, None)]
+             ("2.30.2016", "2016-02-30", None), ("none", None, None),
+             ("9" * 50 + ".1.2016", "2016-01-" + "9" * 50, None), ("1.2." + "0" * 40 + "13", None, None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "t string")
-    ymd = D.title_date_string(F.col("t"))
     got = {r["t"]: (r["ymd"], r["d"]) for r in
-           df.select("t", ymd.alias("ymd"), D.ymd_to_date(ymd).cast("string").alias("d")).collect()}
+           D.with_title_date(df, "t", "ymd", "date").select("t", "ymd", F.col("date").cast("string").alias("d")).collect()}
     for t, y, d in cases:
         assert got[t] == (y, d), (t, got[t])
 
@@ -161,8 +161,9 @@ def test_distance_inclusive(spark):
 
 
 def test_ranges_and_grid(spark):
-    assert runs.parse_range("100..130..10") == [100, 110, 120]
-    assert runs.parse_range("5") == [5]
+    one = spark.range(1)
+    for text, want in (("100..130..10", [100, 110, 120]), ("5", [5]), ("3..3", []), (" 1..4 ", [1, 2, 3])):
+        assert one.select(runs.range_column(text)).first()[0] == want
     grid = spark.createDataFrame([(k,) for k in (9, 10, 11, 12)], "k int")
     counts = spark.createDataFrame([(9, 9), (10, 10), (11, 11)], "k int, n long")
     inc = sorted(r["k"] for r in runs.incomplete_runs(grid, counts, ["k"]).collect())

@@ -20,13 +20,10 @@ def _zfill2(c: Column) -> Column:
     return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
 
 
-def date_parts_from_title(title: Column, min_year: int = MIN_YEAR) -> Column:
-    """struct(month, day, year) strings from the first date-like run, or null."""
-    t = py_strip(title)
-    return F.when(t.rlike(TITLE_DATE), F.struct(
-        F.regexp_extract(t, TITLE_DATE, 1).alias("month"),
-        F.regexp_extract(t, TITLE_DATE, 2).alias("day"),
-        F.regexp_extract(t, TITLE_DATE, 3).alias("year")))
+def _over(digits: Column, least: int) -> Column:
+    """Whether a run of digits of any length is ``least`` or more; null for other text."""
+    plain = F.ltrim(digits, F.lit("0"))
+    return F.when(digits.rlike("^[0-9]+$"), (F.length(plain) > 9) | (F.coalesce(plain.try_cast("int"), F.lit(0)) >= least))
 
 
 def ymd_from_parts(month: Column, day: Column, year: Column, min_year: int = MIN_YEAR) -> Column:
@@ -36,13 +33,11 @@ def ymd_from_parts(month: Column, day: Column, year: Column, min_year: int = MIN
     above 12 swaps month and day; parts shorter than two digits are padded.
     """
     y = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    yn = y.try_cast("decimal(38,0)")
-    mn = month.try_cast("decimal(38,0)")
-    swap = mn > 12
+    swap = _over(month, 13)
     m2 = F.when(swap, day).otherwise(month)
     d2 = F.when(swap, month).otherwise(day)
     raw = F.concat(y, F.lit("-"), _zfill2(m2), F.lit("-"), _zfill2(d2))
-    return F.when(yn >= min_year, raw)
+    return F.when(_over(y, min_year), raw)
 
 
 def ymd_to_date(ymd: Column) -> Column:
@@ -50,11 +45,6 @@ def ymd_to_date(ymd: Column) -> Column:
     return F.when(ymd.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), ymd.try_cast("date"))
 
 
-def title_date_string(title: Column, min_year: int = MIN_YEAR) -> Column:
-    p = date_parts_from_title(title)
-    return ymd_from_parts(p["month"], p["day"], p["year"], min_year)
-
-
 def ordinal_to_date(text: Column) -> Column:
     """SCL-20: 'Month Nth, YYYY' -> date (st, nd, rd and th suffixes)."""
     plain = F.regexp_replace(text, ORDINAL, "$1 $2 $4")
@@ -92,11 +82,6 @@ def with_title_date(df, title: str, ymd: str = "ymd", date: str = "date", min_ye
     t = t.withColumn("_has", F.col("_t").rlike(TITLE_DATE))
     for i, name in enumerate(("_mo", "_da", "_yr"), start=1):
         t = t.withColumn(name, F.when(F.col("_has"), F.regexp_extract("_t", TITLE_DATE, i)))
-    t = t.withColumn("_y", F.when(F.length("_yr") == 2, F.concat(F.lit("20"), "_yr")).otherwise(F.col("_yr")))
-    t = t.withColumn("_swap", F.col("_mo").try_cast("decimal(38,0)") > 12)
-    t = t.withColumn("_m2", F.when(F.col("_swap"), F.col("_da")).otherwise(F.col("_mo")))
-    t = t.withColumn("_d2", F.when(F.col("_swap"), F.col("_mo")).otherwise(F.col("_da")))
-    raw = F.concat(F.col("_y"), F.lit("-"), _zfill2(F.col("_m2")), F.lit("-"), _zfill2(F.col("_d2")))
-    t = t.withColumn(ymd, F.when(F.col("_y").try_cast("decimal(38,0)") >= min_year, raw))
+    t = t.withColumn(ymd, ymd_from_parts(F.col("_mo"), F.col("_da"), F.col("_yr"), min_year))
     t = t.withColumn(date, ymd_to_date(F.col(ymd)))
-    return t.drop("_t", "_has", "_mo", "_da", "_yr", "_y", "_swap", "_m2", "_d2")
+    return t.drop("_t", "_has", "_mo", "_da", "_yr")

@@ -97,11 +97,6 @@ def said_of(line: Column) -> Column:
                   py_strip(F.regexp_extract(line, SPEAKER_LABEL, 2))).otherwise(line)
 
 
-def squeeze(c: Column) -> Column:
-    """SCL-16: line breaks and whitespace runs become one space."""
-    return F.regexp_replace(c, WHITESPACE_RUNS, " ")
-
-
 def first_token(c: Column) -> Column:
     """SCL-17: first space-separated token of a line."""
     return F.element_at(F.split(c, " ", -1), 1)
@@ -109,7 +104,7 @@ def first_token(c: Column) -> Column:
 
 def strip_prefix(c: Column, prefix: Column) -> Column:
     """SCL-18: drop a known prefix from a line."""
-    return F.substring(c, F.length(prefix) + 1, 1 << 30)
+    return F.substring(c, F.length(prefix) + 1, F.length(c))
 
 
 # ---------------------------------------------------------------------------
@@ -122,8 +117,7 @@ HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                  ("&#39;", "'"), ("&apos;", "'")]
 HTML_OTHER_ENTITY = r"&[a-zA-Z]+;|&#[0-9]+;"
 HTML_AMP = "&amp;"
-PARAGRAPH = r"(?s)<p>(.*?)</p>"
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
+PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
 
 
 def html_to_text(html: Column) -> Column:
@@ -139,12 +133,18 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITESPACE_RUNS, " "))
 
 
-def html_paragraphs(html: Column) -> Column:
-    """SCL-24: paragraph bodies directly inside the article container."""
-    return F.regexp_extract_all(F.regexp_extract(html, ARTICLE, 1), F.lit(PARAGRAPH), 1)
+def html_paragraphs(html: Column, container: str = "article", attribute: str | None = None) -> Column:
+    """SCL-24: the paragraph bodies of all containers of a page, in order.
+
+    ``container`` is their tag; ``attribute`` (as written in the page, for
+    example ``class="displaytext"``) narrows it.
+    """
+    narrow = rf"[^>]*\Q{attribute}\E" if attribute else ""
+    containers = F.regexp_extract_all(html, F.lit(rf"(?is)<{container}\b{narrow}[^>]*>(.*?)</{container}>"), 1)
+    return F.flatten(F.transform(containers, lambda c: F.regexp_extract_all(c, F.lit(PARAGRAPH), 1)))
 
 
 def replace_first(c: Column, needle: str) -> Column:
     """Remove the first occurrence of ``needle`` (JavaScript string replace)."""
     head = F.substring_index(c, needle, 1)
-    return F.concat(head, F.substring(c, F.length(head) + len(needle) + 1, 1 << 30))
+    return F.concat(head, F.substring(c, F.length(head) + len(needle) + 1, F.length(c)))

@@ -33,15 +33,9 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """SCL-31; null when either vector is zero."""
+    """SCL-31; 0 when either vector is zero."""
     d = norm(a) * norm(b)
-    return F.when(d > 0, dot(a, b) / d)
-
-
-def abs_cosine_similarity(a: Column, b: Column) -> Column:
-    """SCL-30: |cos| (the reference's "cosine error": larger means closer)."""
-    d = norm(a) * norm(b)
-    return F.when(d > 0, F.abs(dot(a, b)) / d)
+    return F.when(d > 0, dot(a, b) / d).when(d == 0, 0.0)
 
 
 def cosine_error(a: Column, b: Column) -> Column:

@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import dates as D
 from topicloom.functions.text import py_strip
-from topicloom.operators.scans import broadcast_if_small
 
 
 def date_titles(titles: DataFrame, overrides: DataFrame | None = None, title: str = "title",
-                min_year: int = D.MIN_YEAR, max_override_rows: int = 1_000_000) -> DataFrame:
+                min_year: int = D.MIN_YEAR) -> DataFrame:
     """Titles + (ymd string, date).
 
     ``overrides`` (title, month, day, year, seq) wins over the regex; the
-    entry with the highest ``seq`` wins for a repeated title. The override
-    table is user input: it is broadcast only when its size is checked.
+    entry with the highest ``seq`` wins for a repeated title.
     """
     t = titles.withColumn("_key", py_strip(F.col(title)))
     t = D.with_title_date(t, title, "_parsed", "_pdate", min_year)
     if overrides is not None:
         ov = (overrides.groupBy(py_strip(F.col("title")).alias("_key"))
               .agg(F.max_by(F.struct("month", "day", "year"), F.col("seq")).alias("_ov")))
-        t = t.join(broadcast_if_small(ov, max_override_rows), "_key", "left")
+        t = t.join(ov, "_key", "left")
         ov_ymd = D.ymd_from_parts(F.col("_ov.month"), F.col("_ov.day"), F.col("_ov.year"), min_year)
         t = t.withColumn("ymd", F.when(F.col("_ov").isNotNull(), ov_ymd).otherwise(F.col("_parsed"))).drop("_ov")
     else:

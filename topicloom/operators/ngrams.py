@@ -9,16 +9,15 @@ each position carries a closed-form weight instead:
 * token i weighs  least(i, n-L) - greatest(i-(L-1), 0) + 1;
 * pair i < j <= i+L-1 weighs  least(i, n-L) - greatest(j-(L-1), 0) + 1.
 
-So each token emits at most L-1 partner rows (a ``lead`` window over the
-document's tokens; no self-join). The weighted sums are plain hash
-aggregations with map-side partial aggregation, which also absorbs the
-skew of very common words.
+So each token emits at most L-1 partner rows, inside its document's row (no
+self-join, no shuffle). The weighted sums are plain hash aggregations with
+map-side partial aggregation, which also absorbs the skew of very common
+words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
@@ -26,33 +25,22 @@ from topicloom.functions.text import tokens
 WINDOW_SIZE = 10
 
 
-def by_document(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Hash-partition documents by id (compact text rows) before per-document work."""
-    return docs.repartition(F.col(doc_id))
-
-
 def _words(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     # FLT-3: blank documents are skipped; SCL-14 tokeniser.
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
     return d.withColumn("n", F.size("w")).filter(F.col("n") > 0)
 
 
-def _token_weight(i: Column, n: Column, L: int) -> Column:
+def token_weight(i: Column, n: Column, L: int) -> Column:
     return F.when(n < L, F.lit(1)).otherwise(
         F.least(i, n - L) - F.greatest(i - (L - 1), F.lit(0)) + 1)
 
 
-def _pair_weight(i: Column, j: Column, n: Column, L: int) -> Column:
+def pair_weight(i: Column, j: Column, n: Column, L: int) -> Column:
     return F.when(n < L, F.lit(1)).otherwise(
         F.least(i, n - L) - F.greatest(j - (L - 1), F.lit(0)) + 1)
 
 
-def positioned_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n, i, tok): one row per token with its position and the document length."""
-    d = _words(docs, text, doc_id)
-    return d.select("doc_id", "n", F.posexplode("w").alias("i", "tok"))
-
-
 def unigram_counts(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                    doc_id: str = "doc_id") -> DataFrame:
     """AGG-4: (token, n) windowed unigram counts."""
@@ -64,42 +52,39 @@ def pair_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
               doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, i, j, a, b, wt): every position pair that shares a window, unequal words.
 
-    The ``lead`` window pairs each token with its next L-1 tokens and runs
-    as generated code. It needs the tokens clustered by document: when the
-    documents arrive hash-partitioned by doc_id (``by_document``, or a
-    stage stored that way) the token rows inherit it and no exchange is
-    added; otherwise Spark shuffles the token rows.
+    A token meets its next L-1 tokens inside the document's own row, as
+    generated code; nothing is shuffled.
     """
     L = int(window)
     d = _words(docs, text, doc_id)
-    tk = d.select("doc_id", "n", F.posexplode("w").alias("i", "a"))
-    win = Window.partitionBy("doc_id").orderBy("i")
-    nxt = F.array(*[F.struct(F.lit(k).alias("d"), F.lead("a", k).over(win).alias("b")) for k in range(1, L)])
-    pairs = (tk.select("doc_id", "n", "i", "a", nxt.alias("nx"))
-             .select("doc_id", "n", "i", "a", F.inline("nx"))
+    tk = d.select("doc_id", "n", "w", F.posexplode("w").alias("i", "a"))
+    nxt = F.array(*[F.struct(F.lit(k).alias("d"), F.get("w", F.col("i") + k).alias("b")) for k in range(1, L)])
+    pairs = (tk.select("doc_id", "n", "i", "a", F.inline(nxt))
              .filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
              .withColumn("j", F.col("i") + F.col("d")))
     return pairs.select("doc_id", "i", "j", "a", "b",
-                        _pair_weight(F.col("i"), F.col("j"), F.col("n"), L).alias("wt"))
-
-
-def pair_key(a: Column, b: Column) -> Column:
-    """Order-free pair key "w1 w2" with w1 < w2 (SCL-25). Tokens never hold a
-    blank, so the key splits back exactly; one string hashes faster than two."""
-    return F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
-
-
-def split_key(k: Column) -> tuple[Column, Column]:
-    return F.substring_index(k, " ", 1), F.substring_index(k, " ", -1)
+                        pair_weight(F.col("i"), F.col("j"), F.col("n"), L).alias("wt"))
 
 
 def bigram_counts(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                   doc_id: str = "doc_id") -> DataFrame:
     """AGG-5: (w1, w2, n) with w1 < w2, FLT-6 applied."""
     p = pair_rows(docs, window, text, doc_id)
-    g = p.groupBy(pair_key(F.col("a"), F.col("b")).alias("k")).agg(F.sum(F.col("wt").cast("long")).alias("n"))
-    w1, w2 = split_key(F.col("k"))
-    return g.select(w1.alias("w1"), w2.alias("w2"), "n")
+    return p.groupBy(F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2")).agg(
+        F.sum(F.col("wt").cast("long")).alias("n"))
+
+
+def pair_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text", doc_id: str = "doc_id") -> Column:
+    """AGG-7 for pairs: the weight of all pairs of unequal words, one number per
+    position and one sum over all; no pair becomes a row."""
+    L = int(window)
+    d = _words(docs, text, doc_id)
+    tk = d.select("n", "w", F.posexplode("w").alias("i", "a"))
+    own = F.lit(0)
+    for k in range(1, L):
+        weight = pair_weight(F.col("i"), F.col("i") + k, F.col("n"), L)
+        own = own + F.when(F.get("w", F.col("i") + k) != F.col("a"), weight).otherwise(0)
+    return tk.select(own.cast("long").alias("wt")).select(F.sum("wt").cast("double")).scalar()
 
 
 def window_ngrams(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
@@ -125,7 +110,7 @@ def unigram_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     L = int(window)
     d = _words(docs, text, doc_id)
     rows = d.select("n", F.posexplode("w").alias("i", "token"))
-    return rows.select("token", _token_weight(F.col("i"), F.col("n"), L).alias("wt"))
+    return rows.select("token", token_weight(F.col("i"), F.col("n"), L).alias("wt"))
 
 
 def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
@@ -138,23 +123,3 @@ def unigram_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text"
     d = _words(docs, text, doc_id)
     per_doc = F.when(F.col("n") < L, F.col("n")).otherwise((F.col("n") - L + 1) * L).cast("long")
     return d.select(F.sum(per_doc).cast("double")).scalar()
-
-
-def pair_rows_inrow(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """``pair_rows`` generated inside each document row (no window, no shuffle).
-
-    Slower per row on one machine than the ``lead`` window (lambdas are
-    interpreted), but it needs no partitioning, so it also runs on
-    streaming DataFrames where non-time windows are not allowed.
-    """
-    L = int(window)
-    d = _words(docs, text, doc_id)
-    per_token = d.select("doc_id", "n", F.explode(F.transform(
-        "w", lambda x, i: F.struct(i.alias("i"), x.alias("a"),
-                                   F.slice("w", i + 2, L - 1).alias("nxt")))).alias("t"))
-    pairs = per_token.select("doc_id", "n", F.col("t.i").alias("i"), F.col("t.a").alias("a"),
-                             F.posexplode("t.nxt").alias("k", "b"))
-    pairs = pairs.withColumn("j", F.col("i") + F.col("k") + 1).filter(F.col("a") != F.col("b"))
-    return pairs.select("doc_id", "i", "j", "a", "b",
-                        _pair_weight(F.col("i"), F.col("j"), F.col("n"), L).alias("wt"))

@@ -72,16 +72,6 @@ def replicate_to_next_bucket(pos: Column, width: int) -> Column:
     return F.array(b, b + 1)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise leave the join to AQE.
-
-    The check is a bounded action (at most ``max_rows + 1`` rows are
-    counted), so it stays cheap whatever the input size.
-    """
-    n = df.limit(int(max_rows) + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
                    text: str, sep: str, out: str) -> DataFrame:
     """keys + ``out``: the ``text`` of each group joined in ``order`` with ``sep``.

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import PY_WS, py_strip, said_of, speaker_of
+from topicloom.functions.text import PY_WS, py_strip, said_of, speaker_of, strip_prefix
 from topicloom.operators.scans import forward_fill, ordered_concat
 
 
@@ -63,10 +63,12 @@ def prefix_join(lines: DataFrame, labels: DataFrame, line: str = "line", label:
     max_len = labels.select(F.max(F.length(label))).scalar()
     with_head = lines.withColumn("_head", F.left(F.col(line), max_len))
     heads = with_head.select("_head").distinct()
-    cand = (heads.withColumn("_len", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_head"), F.lit(1)))))
-            .withColumn("_pfx", F.expr("substring(_head, 1, _len)")).drop("_len"))
+    # only label lengths that exist propose prefixes
     lab = labels.select(F.col(label).alias("_pfx")).distinct()
+    lengths = lab.select(F.array_sort(F.collect_set(F.length("_pfx")))).scalar()
+    cand = (heads.withColumn("_len", F.explode(lengths)).filter(F.col("_len") <= F.length("_head"))
+            .withColumn("_pfx", F.expr("substring(_head, 1, _len)")).drop("_len"))
     matches = cand.join(lab, "_pfx")
     j = with_head.join(matches, "_head")
     return j.withColumn(label, F.col("_pfx")).withColumn(
-        "rest", F.substring(F.col(line), F.length("_pfx") + 1, 1 << 30)).drop("_pfx", "_head")
+        "rest", strip_prefix(F.col(line), F.col("_pfx"))).drop("_pfx", "_head")

@@ -4,11 +4,10 @@ For every cluster (a word list of at most ``max_words`` words) and every
 document, a pair of the cluster's words scores one hit per pair of
 positions at most ``distance`` apart. Plan:
 
-1. tokens are left-semi joined to the distinct cluster vocabulary first
-   (checked-size broadcast), which drops most of the corpus at the scan;
-2. the positional band join is bucketed: each token is replicated into its
-   own and the next bucket of width ``distance`` and the join key is
-   (doc_id, bucket), so no key grows with a document or a common word;
+1. tokens are left-semi joined to the distinct cluster vocabulary first,
+   which drops most of the corpus at the scan;
+2. the words left of a document meet in one row and are paired there with
+   the next ``distance`` ones, so no key is larger than a document;
 3. hits are pre-aggregated per (doc, w1, w2) before meeting the cluster
    pair table on (w1, w2), then summed per (cluster, date).
 
@@ -23,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
-from topicloom.operators.scans import (band_bucket, broadcast_if_small, replicate_to_next_bucket,
-                                        running_sum)
+from topicloom.operators.scans import running_sum
 
 MAX_WORDS = 15
 DISTANCE = 10
@@ -38,33 +36,41 @@ def cluster_words(clusters: DataFrame, keys=("run", "cluster"), max_words: int =
 
 
 def cluster_pairs(clusters: DataFrame, keys=("run", "cluster"), max_words: int = MAX_WORDS) -> DataFrame:
-    """(keys, w1, w2), w1 < w2: the unordered word pairs of each kept cluster (JN-12)."""
+    """(keys, w1, w2, times), w1 <= w2: the unordered word pairs of each kept
+    cluster and how often the list holds them (a repeated word repeats its
+    pairs, and pairs with itself: JN-12)."""
     k = list(keys)
-    c = clusters.filter(F.size("words") <= max_words).select(*k, F.array_sort(F.array_distinct("words")).alias("w"))
+    c = clusters.filter(F.size("words") <= max_words).select(*k, F.array_sort("words").alias("w"))
     c = c.select(*k, "w", F.posexplode("w").alias("i", "w1"))
-    return c.select(*k, "w1", F.explode(F.slice("w", F.col("i") + 2, 1 << 20)).alias("w2"))
+    p = c.select(*k, "w1", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("w2"))
+    return p.groupBy(*k, "w1", "w2").agg(F.count(F.lit(1)).alias("times"))
 
 
-def vocab_tokens(docs: DataFrame, vocab: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                 max_vocab_rows: int = 2_000_000) -> DataFrame:
+def vocab_tokens(docs: DataFrame, vocab: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, pos, word) for tokens that are cluster words (SCL-38)."""
     t = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("pos", "word"))
-    return t.join(broadcast_if_small(vocab, max_vocab_rows), "word", "left_semi")
+    return t.join(vocab, "word", "left_semi")
 
 
 def near_hits(toks: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """AGG-17 pre-aggregated: (doc_id, w1, w2, hits) for position pairs within ``distance``."""
+    """AGG-17 pre-aggregated: (doc_id, w1, w2, hits) for pairs of positions within
+    ``distance``.
+
+    Words of a document meet in one row (bounded by the document) and each is
+    paired with those that follow it there. Unequal words count a pair of
+    positions once. A word pairs with itself over all ordered position pairs,
+    each position with itself included, as the reference compares the word's
+    position list with itself.
+    """
     D = int(distance)
-    a = toks.select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("a_pos"), F.col("word").alias("a_word"),
-                    F.explode(replicate_to_next_bucket(F.col("pos"), D)).alias("a_bkt"))
-    b = toks.select(F.col("doc_id").alias("b_doc"), F.col("pos").alias("b_pos"), F.col("word").alias("b_word"),
-                    band_bucket(F.col("pos"), D).alias("b_bkt"))
-    cond = ((a["a_doc"] == b["b_doc"]) & (a["a_bkt"] == b["b_bkt"])
-            & (b["b_pos"] > a["a_pos"]) & (b["b_pos"] <= a["a_pos"] + D) & (a["a_word"] != b["b_word"]))
-    j = a.join(b, cond)
-    return (j.groupBy(F.col("a_doc").alias("doc_id"), F.least("a_word", "b_word").alias("w1"),
-                      F.greatest("a_word", "b_word").alias("w2"))
-            .agg(F.count(F.lit(1)).alias("hits")))
+    rows = toks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("t"))
+    each = rows.select("doc_id", "t", F.posexplode("t").alias("p", "x"))
+    nxt = F.array(*[F.get("t", F.col("p") + k) for k in range(0, D + 1)])
+    near = (each.select("doc_id", "x", F.explode(nxt).alias("y"))
+            .filter(F.col("y").isNotNull() & (F.col("y.pos") <= F.col("x.pos") + D)))
+    times = F.when((F.col("x.word") == F.col("y.word")) & (F.col("x.pos") != F.col("y.pos")), 2).otherwise(1)
+    return (near.groupBy("doc_id", F.least("x.word", "y.word").alias("w1"), F.greatest("x.word", "y.word").alias("w2"))
+            .agg(F.sum(times).alias("hits")))
 
 
 def cluster_doc_scores(clusters: DataFrame, docs: DataFrame, keys=("run", "cluster"),
@@ -76,7 +82,7 @@ def cluster_doc_scores(clusters: DataFrame, docs: DataFrame, keys=("run", "clust
     hits = near_hits(toks, distance)
     cp = cluster_pairs(clusters, keys, max_words)
     j = hits.join(cp, ["w1", "w2"])
-    return j.groupBy(*k, "doc_id").agg(F.sum("hits").alias("score"))
+    return j.groupBy(*k, "doc_id").agg(F.sum(F.col("hits") * F.col("times")).alias("score"))
 
 
 def cluster_timeseries(clusters: DataFrame, docs: DataFrame, dates: DataFrame, keys=("run", "cluster"),
@@ -108,9 +114,10 @@ def cluster_timeseries(clusters: DataFrame, docs: DataFrame, dates: DataFrame, k
                   (both["doc_id"] == hits["doc_id"]) & (F.least(both["u"], both["v"]) == F.col("hw1"))
                   & (F.greatest(both["u"], both["v"]) == F.col("hw2")), "left") \
         .select(*[both[c] for c in k], both["doc_id"], F.coalesce(F.col("hits"), F.lit(0)).alias("hits"))
+    # JN-6: documents beyond the titles are no documents; undated ones are
+    h = h.join(dates, "doc_id")
     run = running_sum(h, k, ["doc_id"], F.floor(F.col("doc_id") / F.lit(4096)), "hits", "score")
-    return (run.filter(F.col("score") > 0).join(dates, "doc_id", "left")
-            .select(*k, "doc_id", "date", "score"))
+    return run.filter(F.col("score") > 0).select(*k, "doc_id", "date", "score")
 
 
 def query_timeseries(ts: DataFrame, clusters: DataFrame, words: list[str] | None,

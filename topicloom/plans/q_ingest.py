@@ -113,9 +113,14 @@ def q_caption_text(spark, sf_dir):
     return cap.captions_to_documents(caption_lines(spark, sf_dir)).select(F.col("file").cast("bigint"), "text")
 
 
+def _turn_block():
+    """A turn, and 1,024 lines of it: neither a long turn nor a long transcript is one group."""
+    return F.struct(F.col("turn"), F.floor(F.col("sub") / F.lit(1024)).alias("part"))
+
+
 def _speaker_lines(spark, sf_dir):
     return spk.speaker_lines(transcript_lines(spark, sf_dir), order=("turn", "sub"),
-                             block=F.floor(F.col("turn") / F.lit(1024)))
+                             block=_turn_block())
 
 
 @register("speaker_lines", sql=SPEAKER_CTE + """
@@ -129,7 +134,7 @@ def q_speaker_lines(spark, sf_dir):
 
 def _speaker_text(spark, sf_dir):
     return spk.speaker_text(transcript_lines(spark, sf_dir), order=("turn", "sub"), sep=" ",
-                            block=F.floor(F.col("turn") / F.lit(1024)))
+                            block=_turn_block())
 
 
 @register("speaker_text", sql=SPEAKER_CTE + "SELECT CAST(file AS BIGINT) AS file, speaker, text FROM st")
@@ -158,8 +163,8 @@ def q_html_text(spark, sf_dir):
 @register("html_paragraphs", sql=f"""
 SELECT CAST(page_id AS BIGINT) AS page_id, CAST(i AS BIGINT) AS para_no, {_html_text_sql('para')} AS text FROM (
   SELECT page_id, unnest(ps) AS para, unnest(range(len(ps))) AS i FROM (
-    SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1),
-                                       '(?s)<p>(.*?)</p>', 1) AS ps FROM pages))""")
+    SELECT page_id, flatten(list_transform(regexp_extract_all(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1),
+                                           lambda c: regexp_extract_all(c, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1))) AS ps FROM pages))""")
 def q_html_paragraphs(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     x = p.select("page_id", F.posexplode(html_paragraphs(F.col("html"))).alias("i", "para"))

@@ -67,3 +67,73 @@ def q_epoch_seconds(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     iso = F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd")
     return o.select(F.col("o_orderkey").cast("bigint"), D.iso_to_epoch(iso).cast("bigint").alias("epoch"))
+
+
+WORDS_BY_LANG = f"""WITH docs AS ({S.CLEAN_DOCS}),
+toks AS (SELECT lang, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS token FROM docs),
+cnt AS (SELECT lang, token, count(*) AS n FROM toks GROUP BY lang, token),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM cnt)"""
+
+
+@register("json_map_counts", sql=WORDS_BY_LANG + """
+SELECT lang, token, CAST(n AS BIGINT) AS n FROM top WHERE r <= 50""")
+def q_json_map_counts(spark, sf_dir):
+    """SRC-6: one JSON object of counts per language, parsed by ``parse_json_map``."""
+    from topicloom.functions.text import tokens
+    from topicloom.plans.tables import cleaned_corpus
+    from pyspark.sql import Window
+    t = cleaned_corpus(spark, sf_dir).select("lang", F.explode(tokens(F.col("text"))).alias("token"))
+    n = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "token")
+    top = n.withColumn("r", F.row_number().over(w)).filter("r <= 50")
+    js = top.groupBy("lang").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("value"))
+    return js.select("lang", F.explode(R.parse_json_map(F.col("value"), "bigint")).alias("token", "n"))
+
+
+EVALUATIONS_SQL = S.ctes(S.TOPICS_CTE) + """
+SELECT CASE WHEN model = 'lang' THEN 'vox_corpus' ELSE 'corpus' END AS corpus, model AS embed, 'spherical' AS variant,
+       CAST(k AS BIGINT) AS k, 'clusters' AS kind, CAST(cluster AS VARCHAR) AS cluster, CAST(len(words) AS DOUBLE) AS mean,
+       CASE WHEN k > 1 THEN CAST(0.5 AS DOUBLE) END AS median FROM topics"""
+
+
+@register("evaluation_files", sql=EVALUATIONS_SQL)
+def q_evaluation_files(spark, sf_dir):
+    """SRC-7 over SNK-4: run files by name, corpus names with an underscore, a
+    NaN median, a run beyond the largest k, a name and a text that don't parse."""
+    t = topic_runs(spark, sf_dir)
+    scores = t.select("run", "model", "k", "cluster", F.size("words").cast("double").alias("mean"),
+                      F.when(F.col("k") > 1, 0.5).otherwise(F.lit(float("nan"))).alias("median"))
+    files = K.coherence_json(scores, ("model", "k"))
+    name = F.concat_ws("_", F.when(F.col("model") == "lang", "vox_corpus").otherwise("corpus"), "model", F.lit("spherical"),
+                       F.col("k").cast("string"), F.lit("clusters"), F.lit("evaluation.json"))
+    good = files.select(name.alias("name"), "value")
+    large = files.select(F.regexp_replace(name, "_[0-9]+_clusters", "_1001_clusters").alias("name"), "value")
+    bad = files.select(F.lit("notes.json").alias("name"), "value").unionByName(files.select(name.alias("name"), F.lit("{").alias("value")))
+    e = R.parse_evaluations(good.unionByName(large).unionByName(bad))
+    return e.select("corpus", "embed", "variant", F.col("k").cast("bigint"), "kind", "cluster", "mean",
+                    F.when(~F.isnan("median"), F.col("median")).alias("median"))
+
+
+@register("debate_lines", sql="""
+SELECT CAST(page_id AS BIGINT) AS page_id, '1.2.2016' AS date, 'Town ' || page_id % 9 AS location, url FROM pages""")
+def q_debate_lines(spark, sf_dir):
+    """SRC-9: 'date|location|url' lines."""
+    p = table(spark, sf_dir, "pages")
+    line = F.concat_ws("|", F.lit("1.2.2016"), F.concat(F.lit("Town "), (F.col("page_id") % 9).cast("string")), "url")
+    return p.select("page_id", R.parse_debate_line(line).alias("d")).select(F.col("page_id").cast("bigint"), "d.*")
+
+
+@register("ranked_lines", sql=S.ctes(S.TOPICS_CTE) + """
+SELECT run, CAST(cluster AS BIGINT) AS cluster, array_to_string(words, ' ') AS words FROM topics""")
+def q_ranked_lines(spark, sf_dir):
+    """SRC-10: the words of 'score (w1, w2) [runs]' lines."""
+    t = topic_runs(spark, sf_dir)
+    line = F.format_string("%s (%s) [%s]", F.lit("0.5"), F.array_join("words", ", "), "run")
+    return t.select("run", F.col("cluster").cast("bigint"), F.array_join(R.parse_ranked_cluster_line(line), " ").alias("words"))
+
+
+@register("first_tokens", sql="""
+SELECT DISTINCT CAST(string_split(text, ' ')[1] AS VARCHAR) AS speaker FROM documents""")
+def q_first_tokens(spark, sf_dir):
+    """SCL-17 as the reference's make target did it: the first token of each line."""
+    return R.speaker_keys(table(spark, sf_dir, "documents").select(F.col("text").alias("value")))

@@ -13,19 +13,15 @@ from topicloom.operators import runs as R
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import register
-from topicloom.plans.tables import cleaned_documents, stage
+from topicloom.plans.tables import cleaned_documents
 
 GRID_MODELS = ["lang", "source"]
 GRID_RANGE = "1..12"
 
 
 def coherence_scores(spark, sf_dir):
-    """The evaluation table (run, cluster, mean, median), written once per
-    session like the reference's evaluation files, which its ranking and
-    curve steps read instead of re-scoring."""
-    def build():
-        return coh.topic_coherence_from_docs(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir))
-    return stage(spark, f"coherence:{sf_dir}", build)
+    """The evaluation table (run, cluster, mean, median)."""
+    return coh.topic_coherence_from_docs(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir))
 
 
 def _scored(spark, sf_dir):
@@ -51,25 +47,39 @@ def q_rank_all(spark, sf_dir):
 
 
 @register("rank_combined", sql=RUNS_CTE + """
-SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(DISTINCT run)), ' ') AS runs
-FROM ok GROUP BY round(score, 6) + 0.0, label""")
+SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, * FROM (
+  SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(run)), ' ') AS runs
+  FROM ok GROUP BY round(score, 6) + 0.0, label)""")
 def q_rank_combined(spark, sf_dir):
     topics, scores = _scored(spark, sf_dir)
     r = R.rank_combined(scores, topics)
-    return r.select("score", "label", F.array_join("runs", " ").alias("runs"))
+    return r.select(F.col("rank").cast("bigint"), "score", "label", F.array_join("runs", " ").alias("runs"))
 
 
-@register("ranked_series", sql=RUNS_CTE + """
-SELECT model, CAST(row_number() OVER (ORDER BY round(score, 6) + 0.0, run, label, cluster) AS BIGINT) AS x,
-       round(score, 6) + 0.0 AS score, CAST(nwords AS BIGINT) AS nwords FROM ok""")
-def q_ranked_series(spark, sf_dir):
+def _ranked_series_sql(step: int) -> str:
+    return RUNS_CTE + f"""
+SELECT model, run, CAST({step} * row_number() OVER (ORDER BY round(score, 6) + 0.0, run, label, cluster) AS BIGINT) AS x,
+       round(score, 6) + 0.0 AS score, CAST(nwords AS BIGINT) AS nwords FROM ok"""
+
+
+def _ranked_series(spark, sf_dir, step):
     topics, scores = _scored(spark, sf_dir)
     r = R.rank_all(scores, topics)
-    s = R.ranked_series(r, F.split("run", "_").getItem(0), step=1)
-    return s.select("model", F.col("x").cast("bigint"), F.round("score", 6).alias("score"),
+    s = R.ranked_series(r, F.split("run", "_").getItem(0), step=step)
+    return s.select("model", "run", F.col("x").cast("bigint"), F.round("score", 6).alias("score"),
                     F.col("nwords").cast("bigint"))
 
 
+@register("ranked_series", sql=_ranked_series_sql(1))
+def q_ranked_series(spark, sf_dir):
+    return _ranked_series(spark, sf_dir, 1)
+
+
+@register("ranked_series_times5", sql=_ranked_series_sql(5))
+def q_ranked_series_times5(spark, sf_dir):
+    return _ranked_series(spark, sf_dir, 5)
+
+
 @register("run_curves", sql=RUNS_CTE + """
 SELECT model AS embed, 'topk' AS variant, 'clusters' AS kind, CAST(k AS BIGINT) AS k,
        round(avg(score), 6) + 0.0 AS mean, round(median(median), 6) + 0.0 AS median
@@ -112,3 +122,27 @@ def q_incomplete_runs(spark, sf_dir):
     grid, counts = _grid(spark, sf_dir)
     return R.incomplete_runs(grid, counts, ["model", "k"]).select(
         "model", F.col("k").cast("bigint"), F.col("n").cast("bigint"))
+
+
+@register("rank_combined_repeats", sql=RUNS_CTE + """,
+twice AS (SELECT * FROM ok UNION ALL SELECT run, cluster + 100000, model, k, score, median, label, nwords FROM ok WHERE cluster % 2 = 0)
+SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, * FROM (
+  SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(run)), ' ') AS runs
+  FROM twice GROUP BY round(score, 6) + 0.0, label)""")
+def q_rank_combined_repeats(spark, sf_dir):
+    """Two equal clusters of one run list that run twice (AGG-14)."""
+    topics, scores = _scored(spark, sf_dir)
+    again = lambda d: d.unionByName(d.filter("cluster % 2 = 0").withColumn("cluster", F.col("cluster") + 100000))
+    r = R.rank_combined(again(scores), again(topics))
+    return r.select(F.col("rank").cast("bigint"), "score", "label", F.array_join("runs", " ").alias("runs"))
+
+
+@register("coherence_from_tables", sql=S.ctes(S.NGRAM_CTE, S.TOPICS_CTE, S.PAIRS_CTE) + """
+SELECT run, CAST(cluster AS BIGINT) AS cluster, round(mean, 6) + 0.0 AS mean, round(median, 6) + 0.0 AS median FROM coh""")
+def q_coherence_from_tables(spark, sf_dir):
+    """JOB-6 over the two count tables of JOB-5."""
+    from topicloom.operators import ngrams as ng
+    uni, bi = ng.window_ngrams(cleaned_documents(spark, sf_dir))
+    c = coh.topic_coherence(topic_runs(spark, sf_dir), uni, bi)
+    blank = lambda x: F.when(F.isnan(x), F.lit(None)).otherwise(F.round(x, 6)).alias(x)
+    return c.select("run", F.col("cluster").cast("bigint"), blank("mean"), blank("median"))

@@ -96,3 +96,53 @@ def q_timeseries_weekly(spark, sf_dir):
     w = ts.weekly(t)
     return w.select("run", F.col("cluster").cast("bigint"), F.col("week").cast("string"),
                     F.col("score").cast("bigint"))
+
+
+# Repeated words, documents without a date and documents beyond the dates.
+GAPS_CTE = S.TOPICS_CTE + """,
+dts AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE DATE '2016-01-01' + CAST(doc_id % 300 AS INTEGER) END AS date
+        FROM docs WHERE doc_id % 7 <> 3),
+ct AS (SELECT run, cluster, list_concat(words, words[1:1]) AS words FROM topics WHERE len(words) < 10),
+tk AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+       FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM docs)),
+vt AS (SELECT * FROM tk WHERE word IN (SELECT unnest(words) FROM ct)),
+cpi AS (SELECT run, cluster, words, unnest(range(len(words))) AS i FROM ct),
+cp AS (SELECT run, cluster, i, j, words[i + 1] AS a, words[j + 1] AS b
+       FROM (SELECT run, cluster, words, i, unnest(range(i + 1, len(words))) AS j FROM cpi)),
+ph AS (SELECT x.doc_id, x.word AS a, y.word AS b, count(*) AS hits FROM vt x, range(-10, 11) o(d), vt y
+       WHERE y.doc_id = x.doc_id AND y.pos = x.pos + o.d GROUP BY x.doc_id, x.word, y.word)
+"""
+
+
+def _gap_inputs(spark, sf_dir):
+    topics = topic_runs(spark, sf_dir).filter(F.size("words") < 10)
+    clusters = topics.select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
+    dates = doc_dates(spark, sf_dir).filter("doc_id % 7 <> 3").withColumn("date", F.expr("CASE WHEN doc_id % 5 <> 0 THEN date END"))
+    return clusters, cleaned_documents(spark, sf_dir), dates
+
+
+@register("timeseries_repeated_words", sql=S.ctes(GAPS_CTE) + """
+SELECT cp.run, CAST(cp.cluster AS BIGINT) AS cluster, CAST(d.date AS VARCHAR) AS date, CAST(sum(ph.hits) AS BIGINT) AS score
+FROM cp JOIN ph ON ph.a = cp.a AND ph.b = cp.b JOIN dts d ON d.doc_id = ph.doc_id
+WHERE d.date IS NOT NULL GROUP BY cp.run, cp.cluster, d.date""")
+def q_timeseries_repeated_words(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir)
+    out = ts.cluster_timeseries(clusters, docs, dates)
+    return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"), F.col("score").cast("bigint"))
+
+
+@register("timeseries_running_gaps", sql=S.ctes(GAPS_CTE) + """,
+lp AS (SELECT run, cluster, words[len(words) - 1] AS u, words[len(words)] AS v FROM ct WHERE len(words) >= 2),
+pres AS (SELECT DISTINCT doc_id, word FROM tk),
+hh AS (SELECT lp.run, lp.cluster, d.doc_id, d.date, coalesce(ph.hits, 0) AS hits FROM lp
+       JOIN pres p1 ON p1.word = lp.u JOIN pres p2 ON p2.word = lp.v AND p2.doc_id = p1.doc_id
+       JOIN dts d ON d.doc_id = p1.doc_id LEFT JOIN ph ON ph.doc_id = p1.doc_id AND ph.a = lp.u AND ph.b = lp.v),
+rs AS (SELECT run, cluster, doc_id, date, sum(hits) OVER (PARTITION BY run, cluster ORDER BY doc_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS score FROM hh)
+SELECT run, CAST(cluster AS BIGINT) AS cluster, CAST(doc_id AS BIGINT) AS doc_id, CAST(date AS VARCHAR) AS date,
+       CAST(score AS BIGINT) AS score FROM rs WHERE score > 0""")
+def q_timeseries_running_gaps(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir)
+    out = ts.cluster_timeseries(clusters, docs, dates, mode="last_pair_running")
+    return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
+                      F.col("date").cast("string"), F.col("score").cast("bigint"))

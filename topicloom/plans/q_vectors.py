@@ -62,6 +62,20 @@ def q_nearest_words_euclid(spark, sf_dir):
                                           top=10, dist="euclidean"))
 
 
+@register("nearest_words_zero", sql=CEN.replace("CAST(embedding AS DOUBLE[]) AS e", """CASE WHEN vec_id % 50 = 0
+  THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: 0.0) ELSE CAST(embedding AS DOUBLE[]) END AS e""") + """,
+sc AS (SELECT c.cluster, v.word, CASE WHEN list_dot_product(v.e, v.e) = 0 THEN 0.0 ELSE list_cosine_similarity(v.e, c.c) END AS score
+       FROM ev v, cen c),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, word) AS rank FROM sc)
+SELECT CAST(cluster AS BIGINT) AS cluster, CAST(rank AS BIGINT) AS rank, CAST(word AS BIGINT) AS word,
+       round(score, 6) + 0.0 AS score FROM r WHERE rank <= 400""")
+def q_nearest_words_zero(spark, sf_dir):
+    """Vectors of no length score 0 (and come after all that point the centroid's way)."""
+    zero = F.when(F.col("word") % 50 == 0, F.transform("features", lambda x: x * 0)).otherwise(F.col("features"))
+    v = word_vectors(spark, sf_dir).withColumn("features", zero)
+    return _nearest_out(vec.nearest_words(v, vec.mean_vectors(v, "cluster", "features"), top=400))
+
+
 @register("cluster_error_mean", sql=CEN + """
 SELECT CAST(v.cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n,
        round(sum(list_distance(v.e, c.c)), 6) AS err_sum, round(avg(list_distance(v.e, c.c)), 6) AS err_mean
@@ -78,10 +92,8 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(sum(list_distance(v.e, c.c)), 6) AS
 FROM ev v JOIN cen c USING (cluster)""")
 def q_cluster_error_sum(spark, sf_dir):
     pts, cen = word_vectors(spark, sf_dir), label_centroids(spark, sf_dir)
-    eu = vec.total_error(pts, cen, error="euclidean")
-    co = vec.total_error(pts, cen, error="cosine")
-    return eu.select(F.col("n").cast("bigint"), F.round("total", 6).alias("total_euclidean"),
-                     F.round(co.select("total").scalar(), 6).alias("total_cosine"))
+    e = vec.total_error(pts, cen, errors=("euclidean", "cosine"))
+    return e.select(F.col("n").cast("bigint"), *(F.round(c, 6).alias(c) for c in ("total_euclidean", "total_cosine")))
 
 
 @register("l2_normalize", sql="""

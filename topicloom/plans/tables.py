@@ -10,61 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import clean_text
-from topicloom.session import ensure_checkpoint_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least the cluster's parallelism.
-
-    A small table in one Parquet file is one split, so everything fused
-    with its scan would run in one task. Only then is it redistributed
-    (round robin, deterministic on retry); a large input already has more
-    splits than cores and is left untouched. Filters and column pruning
-    still reach the scan below the repartition.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(2 * target)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table. A file of one row group is one task whatever the split
+    size; a session that reads such files (bench, tests) may ask for more by
+    ``spark.topicloom.inputPartitions``. Unset, nothing is redistributed."""
+    n = spark.conf.get("spark.topicloom.inputPartitions", None)
+    if n:
+        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").repartition(int(n))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-_STAGES: dict = {}
-
-
-def stage(spark: SparkSession, key: str, build) -> DataFrame:
-    """A pipeline stage written once per session into the shared checkpoint
-    folder (reliable checkpoint): later queries read it instead of
-    recomputing its lineage, and a lost executor re-reads it from there."""
-    ensure_checkpoint_dir(spark)
-    try:
-        owner = spark._jsparkSession.sessionUUID()
-    except Exception:  # noqa: BLE001 - older sessions without a UUID
-        owner = spark.sparkContext.applicationId
-    k = (owner, key)
-    if k not in _STAGES:
-        _STAGES[k] = build().checkpoint(eager=True)
-    return _STAGES[k]
-
-
 def cleaned_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, text): the corpus after JOB-2a, as the reference
-    pipeline's ``.cleaned`` stage file."""
-    def build():
-        d = table(spark, sf_dir, "documents")
-        return d.select("doc_id", "lang", "source", clean_text(F.col("text")).alias("text"))
-    return stage(spark, f"cleaned:{sf_dir}", build)
+    """(doc_id, lang, source, text): the corpus after JOB-2a."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "source", clean_text(F.col("text")).alias("text"))
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from topicloom.functions.text import first_token
 
-# File-name patterns of the reference's run outputs.
-RUN_FILE = r"^(\w+?)_(\w+?)_(\w+?)_(\w+?)_(\w+?)_(\w+?)\.json$"
+# The file-name pattern of run outputs (greedy: a corpus name may
+# hold underscores) and the header row of a vector file.
+RUN_FILE = r"^(\w+)_(\w+)_(\w+)_(\w+)_(\w+)_(\w+)\.json$"
 HEADER_ROW = r"^\s*[0-9]+\s+[0-9]+\s*$"
 
 
@@ -67,7 +68,7 @@ def parse_word_vector_lines(lines: DataFrame, value: str = "value") -> DataFrame
     parts = F.split(F.trim(F.col(value)), r"\s+", -1)
     return (lines.filter(~F.col(value).rlike(HEADER_ROW) & (F.trim(F.col(value)) != ""))
             .select(F.element_at(parts, 1).alias("word"),
-                    F.transform(F.slice(parts, 2, 1 << 20), lambda x: x.try_cast("float")).alias("features")))
+                    F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.try_cast("float")).alias("features")))
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +109,16 @@ def read_bigram_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluations(spark: SparkSession, path: str, max_k: int | None = 1000) -> DataFrame:
-    """SRC-7: evaluation files named corpus_embed_variant_k_kind_x.json ->
-    (corpus, embed, variant, k, kind, cluster, mean, median); other names
-    and unparsable files are skipped; runs with k > ``max_k`` dropped (FLT-11)."""
+    """SRC-7: evaluation files -> ``parse_evaluations``. A file is one run's JSON object."""
     raw = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_name").alias("name"))
+    return parse_evaluations(raw, max_k)
+
+
+def parse_evaluations(raw: DataFrame, max_k: int | None = 1000) -> DataFrame:
+    """(name, value) of files named corpus_embed_variant_k_kind_x.json ->
+    (corpus, embed, variant, k, kind, cluster, mean, median); other names
+    and unparsable files are skipped; runs with k > ``max_k`` dropped (FLT-11)."""
     raw = raw.filter(F.col("name").rlike(RUN_FILE))
     cols = {c: F.regexp_extract("name", RUN_FILE, i) for i, c in
             enumerate(["corpus", "embed", "variant", "k", "kind"], start=1)}
@@ -140,6 +146,11 @@ def read_debate_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="|", schema=DEBATE_SCHEMA)
 
 
+def parse_debate_line(value: Column) -> Column:
+    """SRC-9: one line -> struct(date, location, url)."""
+    return F.from_csv(value, DEBATE_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": "|"})
+
+
 def parse_ranked_cluster_line(value: Column) -> Column:
     """SRC-10: 'score (w1, w2) [runs]' -> the words inside the parentheses."""
     inside = F.regexp_extract(value, r"\(([^)]*)\)", 1)
