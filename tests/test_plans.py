@@ -11,7 +11,7 @@ NO_PYTHON = ["clean_text", "tfidf_keywords", "ngram_bi", "topic_coherence", "cap
 ML = {"word2vec", "kmeans", "spherical_kmeans", "kmeans_centroid_labels", "wssse_curve", "lda_topics", "pca_layout"}
 RANKED = {"rank_all", "rank_combined", "rank_combined_repeats", "ranked_series", "ranked_series_times5"}
 #: The centroid matrix is a model made on the driver.
-MODELS = {"nearest_words_cosine", "nearest_words_euclid", "nearest_words_zero"}
+MODELS = {"nearest_words_cosine", "nearest_words_euclid", "nearest_words_zero", "centroid_label_lines"}
 
 
 def _plan(df):

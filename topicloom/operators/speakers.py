@@ -46,6 +46,18 @@ def speaker_text(lines: DataFrame, order: Sequence[str] = ("line_no",), sep: str
     return joined.select("file", "speaker", F.regexp_replace("_joined", f"{PY_WS}+", " ").alias("text"))
 
 
+def speaker_corpus(lines: DataFrame, order: Sequence[str] = ("line_no",), sep: str = " ",
+                   block: Column | None = None) -> DataFrame:
+    """(speaker, text): one document per speaker over all files, lines in file and line order."""
+    order = list(order)
+    if block is None:
+        block = F.floor(F.col(order[0]) / F.lit(4096))
+    sl = speaker_lines(lines, order, block)
+    joined = ordered_concat(sl, ["speaker"], ["file", *order], F.struct(F.col("file"), block.alias("block")), "said", sep,
+                            "_joined")
+    return joined.select("speaker", F.regexp_replace("_joined", f"{PY_WS}+", " ").alias("text"))
+
+
 def speakers(speaker_rows: DataFrame) -> DataFrame:
     """SET-2: distinct speaker labels."""
     return speaker_rows.select("speaker").distinct()

@@ -152,3 +152,9 @@ def weekly_wide(ts: DataFrame, label: str = "cluster") -> DataFrame:
     cal = bounds.select(F.explode(F.sequence(week_ending_sunday(F.col("lo")), week_ending_sunday(F.col("hi")),
                                              F.expr("INTERVAL 7 DAYS"))).alias("week"))
     return cal.join(w, "week", "left").fillna(0)
+
+
+def date_score_lines(ts: DataFrame, keys=("run", "cluster")) -> DataFrame:
+    """JOB-10 text form: (keys, date, line) with 'date score' lines; undated points are dropped."""
+    d = ts.filter(F.col("date").isNotNull())
+    return d.select(*keys, "date", F.concat_ws(" ", F.col("date").cast("string"), F.col("score").cast("string")).alias("line"))

@@ -142,6 +142,16 @@ def q_speaker_text(spark, sf_dir):
     return _speaker_text(spark, sf_dir).select(F.col("file").cast("bigint"), "speaker", "text")
 
 
+@register("speaker_corpus", sql=SPEAKER_CTE + f""",
+sc AS (SELECT speaker, regexp_replace(string_agg(said, ' ' ORDER BY file, turn, sub), '{PY_WS}+', ' ', 'g') AS text
+       FROM f WHERE speaker IS NOT NULL GROUP BY speaker)
+SELECT speaker, {S.clean_sql('text')} AS text FROM sc""")
+def q_speaker_corpus(spark, sf_dir):
+    """JOB-2b to its end: one cleaned document per speaker over all files."""
+    c = spk.speaker_corpus(transcript_lines(spark, sf_dir), order=("turn", "sub"), block=_turn_block())
+    return c.select("speaker", clean_text(F.col("text")).alias("text"))
+
+
 @register("speaker_prefix_join", sql=SPEAKER_CTE + """,
 ln AS (SELECT file, speaker || ' ' || text AS line FROM st),
 lab AS (SELECT DISTINCT speaker FROM st)

@@ -146,3 +146,29 @@ def q_timeseries_running_gaps(spark, sf_dir):
     out = ts.cluster_timeseries(clusters, docs, dates, mode="last_pair_running")
     return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
                       F.col("date").cast("string"), F.col("score").cast("bigint"))
+
+
+@register("date_score_lines", sql=S.ctes(GAPS_CTE) + """
+SELECT cp.run, CAST(cp.cluster AS BIGINT) AS cluster, CAST(d.date AS VARCHAR) || ' ' || CAST(sum(ph.hits) AS BIGINT) AS line
+FROM cp JOIN ph ON ph.a = cp.a AND ph.b = cp.b JOIN dts d ON d.doc_id = ph.doc_id
+WHERE d.date IS NOT NULL GROUP BY cp.run, cp.cluster, d.date""")
+def q_date_score_lines(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir)
+    lines = ts.date_score_lines(ts.cluster_timeseries(clusters, docs, dates))
+    return lines.select("run", F.col("cluster").cast("bigint"), "line")
+
+
+@register("timeseries_weekly_wide", sql=S.ctes(TS_CTE) + """,
+one AS (SELECT * FROM tsd WHERE run = 'lang_4' AND cluster < 2),
+wk AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS week, cluster, sum(score) AS score FROM one GROUP BY 1, 2),
+cal AS (SELECT unnest(generate_series((SELECT CAST(date_trunc('week', min(date)) AS DATE) + 6 FROM one),
+          (SELECT CAST(date_trunc('week', max(date)) AS DATE) + 6 FROM one), INTERVAL 7 DAY)) AS week)
+SELECT CAST(CAST(cal.week AS DATE) AS VARCHAR) AS week, CAST(coalesce(sum(score) FILTER (cluster = 0), 0) AS BIGINT) AS "0",
+       CAST(coalesce(sum(score) FILTER (cluster = 1), 0) AS BIGINT) AS "1"
+FROM cal LEFT JOIN wk ON wk.week = CAST(cal.week AS DATE) GROUP BY cal.week""")
+def q_timeseries_weekly_wide(spark, sf_dir):
+    """One column per cluster (two of one run), every week between the first and the last, gaps 0."""
+    topics = topic_runs(spark, sf_dir)
+    t = ts.cluster_timeseries(topics, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
+    w = ts.weekly_wide(t.filter("run = 'lang_4' AND cluster < 2"))
+    return w.select(F.col("week").cast("string"), *(F.col(c).cast("bigint").alias(c) for c in w.columns if c != "week"))

@@ -8,6 +8,7 @@ from topicloom.functions import vectors as V
 from topicloom.operators import vectors as vec
 from topicloom.plans.registry import register
 from topicloom.plans.tables import table
+from topicloom.sources import sinks
 
 
 def word_vectors(spark, sf_dir):
@@ -145,3 +146,12 @@ def q_distinct_vectors(spark, sf_dir):
     j = vec.keyword_vectors(keyword_rows(spark, sf_dir), word_vectors(spark, sf_dir), distinct=True)
     return j.select(F.col("word").cast("bigint"), F.col("cluster").cast("bigint"),
                     F.round(V.norm(F.col("features")), 6).alias("norm"))
+
+
+@register("centroid_label_lines", sql=_nearest_sql("list_cosine_similarity(v.e, c.c)", True).replace(
+    "SELECT CAST(cluster AS BIGINT) AS cluster, CAST(rank AS BIGINT) AS rank, CAST(word AS BIGINT) AS word,\n       round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10",
+    "SELECT CAST(cluster AS BIGINT) AS cluster, cluster || ', ' || string_agg(word, ' ' ORDER BY rank) AS line FROM r WHERE rank <= 10 GROUP BY cluster"))
+def q_centroid_label_lines(spark, sf_dir):
+    """SNK-2: the nearest words of each centroid in the reference's file layout."""
+    labels = vec.nearest_words(word_vectors(spark, sf_dir), label_centroids(spark, sf_dir), top=10)
+    return sinks.centroid_label_lines(labels).select(F.col("cluster").cast("bigint"), "line")

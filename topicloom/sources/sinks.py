@@ -43,6 +43,13 @@ def cluster_errs_csv(errs: DataFrame) -> DataFrame:
                                               F.array_join("words", " ")).alias("line"))
 
 
+def centroid_label_lines(labels: DataFrame) -> DataFrame:
+    """SNK-2 centroid_labels.csv layout: (cluster, line) with 'id, nearest words in order'."""
+    g = labels.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
+    return g.select("cluster", F.concat(F.col("cluster").cast("string"), F.lit(", "), F.array_join(
+        F.transform("w", lambda x: x["word"].cast("string")), " ")).alias("line"))
+
+
 def counts_json_lines(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
     """SNK-3 as JSON lines (one object per row; the reference wrote one big object)."""
     return counts.select(F.to_json(F.struct(F.col(key).alias("k"), F.col(value).alias("n"))).alias("value"))
