@@ -76,6 +76,7 @@ toolbar widget contentinfo complementary alert""".split())
 #: Roles only outside the main part, where they may hold its title.
 OUTER_WORDS = frozenset("header top topbar".split())
 
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -88,6 +89,7 @@ class Page:
         self.tag, self.mark, self.words, self.parent, self.children = [""], [""], [frozenset()], [-1], [[]]
         self.hidden = [False]
         self.runs: list[tuple[int, str | None]] = []
+        self._roles = None
         stack, at = [0], 0
         for m in _TOKEN.finditer(source):
             if m.start() < at:
@@ -104,7 +106,7 @@ class Page:
                 continue
             self._open(stack, name, m[3] or m[6] or "")
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
+                end = _END[name].search(source, at)
                 at = end.start() if end else len(source)
         if at < len(source):
             self._text(stack[-1], source[at:])
@@ -172,6 +174,8 @@ class Page:
 
     def roles(self) -> tuple[list[bool], list[bool], bool]:
         """(noise by markup, inside a main part, has one) per element."""
+        if self._roles:
+            return self._roles
         noise, main = [False], [False]
         for k in range(1, len(self.tag)):
             up = self.parent[k]
@@ -182,7 +186,8 @@ class Page:
             own = own and self.tag[k] not in ("html", "body") and not (self.tag[k] in MAIN and not main[up])
             noise.append(noise[up] or own)
             main.append(inside and not noise[k])
-        return noise, main, any(main)
+        self._roles = noise, main, any(main)
+        return self._roles
 
     def contents(self) -> list[str]:
         """The text below each element."""
@@ -196,10 +201,10 @@ class Page:
             out[k] = " ".join(parts.split())
         return out
 
-    def nodes(self, depth: int) -> list[tuple[int, dict]]:
+    def nodes(self, depth: int, contents: bool = True) -> list[tuple[int, dict]]:
         """(element, row) of the style tree: all elements, but main parts and
         those at the depth limit as leaves. Text among children is a leaf too."""
-        content = self.contents()
+        content = self.contents() if contents else None
         _, main, _ = self.roles()
         out, todo = [], [(0, 0, 0, 0, 0)]
         while todo:
@@ -213,7 +218,7 @@ class Page:
             leaf = main[node] or level >= depth or not any(c > 0 for c in below)
             style = 0 if leaf else _hash(*("#text" if c < 0 else f"{self.tag[c]} {self.mark[c]}" for c in below)) or 1
             out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": style,
-                               "content": _hash(content[node]) if leaf else None, "depth": level}))
+                               "content": _hash(content[node]) if leaf and contents else None, "depth": level}))
             if not leaf:
                 todo += [(c, key, style, k, level + 1) for k, c in enumerate(below)]
         return out
@@ -266,7 +271,7 @@ def page_text(depth: int):
         for source, keys in zip(pages, cut):
             page = Page(source.as_py() or "")
             keys = set(keys.as_py() or ())
-            out.append(page.text({n for n, row in page.nodes(depth) if row["key"] in keys} if keys else set()))
+            out.append(page.text({n for n, row in page.nodes(depth, False) if row["key"] in keys} if keys else set()))
         return pa.array(out, pa.string())
     return text
 
@@ -324,6 +329,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         low = tables.written(low, "low")
         cut = (seen.select("host", "page", "key").join(low, ["host", "key"], "left_semi")
                .groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_list("key").alias("cut")))
-        out = page.join(cut, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
-        out = out.select("page_id", "url", page_text(p.depth)("html", "cut").alias("text"))
-        return written(out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")), "texts")
+        cut = written(cut, "cut")
+    out = page.join(cut, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
+    out = out.select("page_id", "url", page_text(p.depth)("html", "cut").alias("text"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
