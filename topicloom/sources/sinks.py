@@ -65,7 +65,8 @@ def write_curves(curves: DataFrame, path: str, model_cols=("embed", "variant", "
     """SNK-5: one folder per model, rows 'k mean median' sorted by k."""
     out = curves.select(*model_cols, "k", F.concat_ws(" ", F.col("k").cast("string"), F.col("mean").cast("string"),
                                                       F.col("median").cast("string")).alias("value"))
-    (out.repartition(*model_cols).sortWithinPartitions(*model_cols, "k").drop("k")
+    # dealt by range: a large model is several part files, in order
+    (out.repartitionByRange(*model_cols, "k").sortWithinPartitions(*model_cols, "k").drop("k")
      .write.mode("overwrite").partitionBy(*model_cols).text(path))
 
 
@@ -92,5 +93,5 @@ def write_ranked_series(series: DataFrame, path: str) -> None:
     """SNK-10: 'x score nwords' lines, one folder per model, in rank order."""
     out = series.select("model", "x", F.concat_ws(" ", F.col("x").cast("string"), F.col("score").cast("string"),
                                                   F.col("nwords").cast("string")).alias("value"))
-    (out.repartition("model").sortWithinPartitions("model", "x").drop("x")
+    (out.repartitionByRange("model", "x").sortWithinPartitions("model", "x").drop("x")
      .write.mode("overwrite").partitionBy("model").text(path))
