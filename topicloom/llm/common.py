@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into word arrays at a time (a longer text
 #: is worked on whole, by itself).
 SLICE_BYTES = 4 << 20
+#: Rows in a batch for Python; see ``bounded_batches``.
+ROWS = 1000
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -31,6 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send at most ``ROWS`` documents to Python at a time, unless the session
+    says otherwise: Spark's 10,000 rows would be many times a slice, held in
+    the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Consecutive (start, part) of a string array, each of at most ``limit``
     bytes or of one text."""
@@ -43,6 +54,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         total += int(n)
     if start < len(texts):
         yield start, texts.slice(start)
+    # workers live on between stages: they give back what the batch took
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

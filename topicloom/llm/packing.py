@@ -58,7 +58,7 @@ class Ids:
     small and a slice is looked up at once."""
 
     kept: dict[str, "Ids"] = {}
-    ROOM = 1_200_000
+    ROOM = 800_000
 
     def __init__(self, path: str):
         # one task, one thread: Spark spreads the work, and every thread would keep memory of its own
