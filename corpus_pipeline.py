@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm import decontaminate, packing, pii, quality, sketch
-from topicloom.llm.common import written
+from topicloom.llm.common import bounded_batches, written
 
 #: zstandard ratios, n-gram tables and sketches aren't SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -19,26 +19,31 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a compression band reject go."""
+    bounded_batches(spark)
     return quality.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays (five-word shingles, similarity 0.8 or more)."""
+    bounded_batches(spark)
     return sketch.kept(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced in the texts."""
+    bounded_batches(spark)
     return pii.sanitised(docs, length_col="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.packed(docs)
 
 
