@@ -107,3 +107,24 @@ def test_importance_and_cuts(spark):
             whole[u, text(h or "")] += 1
     assert Counter((r.url, r.text) for r in out) == whole
     assert ht.extracted(df.limit(0)).collect() == []
+
+
+def test_tree_cuts_inside_main_parts(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefg", k=6))
+    notice = "<div class=x7><p>written for all readers of this site</p></div>"
+    body = ["".join(f"<p>{' '.join(word() for _ in range(12))}</p>" for _ in range(rng.randint(1, 6))) for _ in range(20)]
+    rows = [(k, f"http://a.example/{k}", f"<body><{m}><h1>{word()}</h1>{b}{notice}</{m}></body>", "h", 1, "t")
+            for k, b in enumerate(body) for m in [("article", "main")[k % 2]]]
+    plain = {k: text(h.replace(notice, "")) for k, _, h, *_ in rows}
+    out = {r.page_id: r.text for r in ht.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == plain
+
+
+def test_varied_text_among_children_is_important(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=6))
+    rows = [(k, f"http://a.example/{k}", f"<article><p>{word()} {word()}<br>{word()} <b>{word()}</b><br>{word()}</p><h2>{word()}</h2></article>",
+             "h", 1, "t") for k in range(20)]
+    out = {r.page_id: r.text for r in ht.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {k: text(h) for k, _, h, *_ in rows}

@@ -14,11 +14,16 @@ layout or varied text makes a branch important, what a site repeats does
 not. Nodes under ``threshold`` on at least ``min_pages`` pages are cut with
 all below them. Equal pages of a host count once.
 
-Markup that states its role settles it beyond the tree: elements, classes
-and roles of menus, footers, adverts and the like go even where a host has
-too few pages to tell, and the inside of article or main is never cut for
-being alike on many pages. A page that marks its main part has no other;
-a page that doesn't keeps what is important.
+Markup that states its role adds to the tree: elements, classes and roles of
+menus, footers, adverts and the like go even where a host has too few pages
+to tell. A page that marks its main part has no other; a page that doesn't
+keeps what is important. Inside article or main the tree cuts too, nodes on
+at least the share ``wide`` of the host's pages; where such nodes hold more
+than half of a page's main text they are its body, and stay.
+
+Runs of equal siblings count as one in a style, and a child is placed by its
+run and its number there, so what follows a varying number of paragraphs is
+one node on all pages.
 
 The tree is made of counted rows (host, node, style, content), aggregated
 map-side, and importance runs up from the deepest level; no task holds a
@@ -52,6 +57,7 @@ class Pruning:
     min_pages: int = 8
     decay: float = 0.9
     depth: int = 12
+    wide: float = 0.5
 
 
 # Roles that markup states.
@@ -89,6 +95,7 @@ class Page:
         self.tag, self.mark, self.words, self.parent, self.children = [""], [""], [frozenset()], [-1], [[]]
         self.hidden = [False]
         self.runs: list[tuple[int, str | None]] = []
+        self.among: dict[tuple[int, int], list[str]] = {}
         self._roles = None
         stack, at = [0], 0
         for m in _TOKEN.finditer(source):
@@ -115,8 +122,10 @@ class Page:
         if self.tag[node] in RAW:
             return
         self.runs.append((node, html.unescape(raw)))
-        if raw.strip() and (not self.children[node] or self.children[node][-1] >= 0):
-            self.children[node].append(-1)  # text among the children
+        if raw.strip():
+            if not self.children[node] or self.children[node][-1] >= 0:
+                self.children[node].append(-1)  # text among the children
+            self.among.setdefault((node, len(self.children[node]) - 1), []).append(self.runs[-1][1])
 
     def _pop(self, stack: list[int], to: int):
         while len(stack) > to:
@@ -202,33 +211,47 @@ class Page:
         return out
 
     def nodes(self, depth: int, contents: bool = True) -> list[tuple[int, dict]]:
-        """(element, row) of the style tree: all elements, but main parts and
-        those at the depth limit as leaves. Text among children is a leaf too."""
+        """(element, row) of the style tree: all elements, those at the depth
+        limit as leaves. Text among children is a leaf too; what holds no text
+        has no importance to give and no row."""
         content = self.contents() if contents else None
-        _, main, _ = self.roles()
-        out, todo = [], [(0, 0, 0, 0, 0)]
+        out, todo = [], [(0, 0, 0, 0, 0, None)]
         while todo:
-            node, parent, pstyle, place, level = todo.pop()
+            node, parent, pstyle, place, level, among = todo.pop()
             if node < 0:
-                key = _hash(parent, pstyle, place, "#text")
-                out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": 0, "content": 0, "depth": level}))
+                key, own = _hash(parent, pstyle, place, "#text"), _hash(" ".join("".join(self.among[among]).split())) if contents else None
+                out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": 0, "content": own, "depth": level}))
+                continue
+            if contents and not content[node]:
                 continue
             key = _hash(parent, pstyle, place, self.tag[node], self.mark[node])
             below = self.children[node]
-            leaf = main[node] or level >= depth or not any(c > 0 for c in below)
-            style = 0 if leaf else _hash(*("#text" if c < 0 else f"{self.tag[c]} {self.mark[c]}" for c in below)) or 1
+            leaf = level >= depth or not any(c > 0 for c in below)
+            names = ["#text" if c < 0 else f"{self.tag[c]} {self.mark[c]}" for c in below]
+            style = 0 if leaf else _hash(*(n for k, n in enumerate(names) if not k or n != names[k - 1])) or 1
             out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": style,
                                "content": _hash(content[node]) if leaf and contents else None, "depth": level}))
             if not leaf:
-                todo += [(c, key, style, k, level + 1) for k, c in enumerate(below)]
+                run = at = 0
+                for k, c in enumerate(below):
+                    run, at = (run, at + 1) if k and names[k] == names[k - 1] else (run + 1, 0)
+                    todo.append((c, key, style, f"{run}.{at}", level + 1, (node, k)))
         return out
 
-    def text(self, cut: set[int]) -> str:
-        """The text without noise and without the elements in ``cut``: blocks joined by line ends."""
+    def text(self, cut: set[int], wide: set[int] = frozenset()) -> str:
+        """The text without noise and without the elements in ``cut``: blocks joined by line ends.
+        Inside main parts only those also in ``wide`` go, and only if most of the main text stays."""
         noise, main, marked = self.roles()
-        gone = [False]
+        low, inside = [False], [False]
         for k in range(1, len(self.tag)):
-            gone.append(gone[self.parent[k]] or (k in cut and not main[k] and not self._holds_main(k, main)))
+            up = self.parent[k]
+            low.append(low[up] or (k in cut and not main[k] and not self._holds_main(k, main)))
+            inside.append(inside[up] or (k in wide and main[k] and main[up]))
+        sizes = [0, 0]
+        for node, text in self.runs:
+            if text and main[node] and not noise[node] and not low[node]:
+                sizes[inside[node]] += len("".join(text.split()))
+        gone = [a or (b and sizes[1] <= sizes[0]) for a, b in zip(low, inside)]
         blocks, own = [], []
         for node, text in self.runs:
             if text is None:
@@ -253,6 +276,8 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: The node that every page has: the page itself.
+ROOT = _hash(0, 0, 0, "", "")
 NODE = pa.struct([("key", pa.int64()), ("parent", pa.int64()), ("pstyle", pa.int64()), ("style", pa.int64()),
                   ("content", pa.int64()), ("depth", pa.int32())])
 
@@ -270,8 +295,9 @@ def page_text(depth: int):
         out = []
         for source, keys in zip(pages, cut):
             page = Page(source.as_py() or "")
-            keys = set(keys.as_py() or ())
-            out.append(page.text({n for n, row in page.nodes(depth, False) if row["key"] in keys} if keys else set()))
+            keys = {k["key"]: k["wide"] for k in keys.as_py() or ()}
+            low = {n: keys[row["key"]] for n, row in page.nodes(depth, False) if row["key"] in keys} if keys else {}
+            out.append(page.text(set(low), {n for n, wide in low.items() if wide}))
         return pa.array(out, pa.string())
     return text
 
@@ -325,10 +351,12 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                               .dropDuplicates(["host", "page"]).select("host", "page", F.explode("nodes").alias("n"))
                               .select("host", "page", "n.*"), "nodes")
         weighed = importance(seen.drop("page"), p, tables.written)
-        low = weighed.filter((F.col("pages") >= p.min_pages) & (F.col("importance") < p.threshold)).select("host", "key")
-        low = tables.written(low, "low")
-        cut = (seen.select("host", "page", "key").join(low, ["host", "key"], "left_semi")
-               .groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_list("key").alias("cut")))
+        hosts = weighed.filter(F.col("key") == ROOT).select("host", F.col("pages").alias("of"))
+        low = weighed.filter((F.col("pages") >= p.min_pages) & (F.col("importance") < p.threshold)).join(hosts, "host")
+        low = tables.written(low.select("host", "key", (F.col("pages") >= p.wide * F.col("of")).alias("wide")), "low")
+        cut = (seen.select("host", "page", "key").join(low, ["host", "key"])
+               .groupBy(F.col("host").alias("_host"), F.col("page").alias("_page"))
+               .agg(F.collect_list(F.struct("key", "wide")).alias("cut")))
         cut = written(cut, "cut")
     out = page.join(cut, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
     out = out.select("page_id", "url", page_text(p.depth)("html", "cut").alias("text"))
