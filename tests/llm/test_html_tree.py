@@ -33,6 +33,20 @@ def test_pages_without_a_main_part_and_broken_markup():
     assert text("<article>t &am") == "t &am" and text("<main><p>m</p></main><p>n</p>") == "m"
 
 
+def test_names_on_what_holds_the_page():
+    body = "<p>one two three</p><p>four five six</p>"
+    want = "one two three\nfour five six"
+    for wrap in ('<div class="content-sidebar-wrap"><main>%s</main><div class=sidebar>s</div></div>',
+                 '<div id="page" class="site no-sidebar"><nav>menu of the site</nav><article>%s</article></div>',
+                 '<div class="has-banner">%s</div><footer>all rights</footer>', '<form action=x><nav>menu</nav><article>%s</article></form>',
+                 '<article><div class="no-comments">%s</div></article>', '<div class=sidebar>ad<article>x</article></div>%s'):
+        assert text(f"<body>{wrap % body}</body>") == want
+    card = '<article class="teaser"><h3>next</h3></article>'
+    assert text(f"<body><div>{body}</div>{card}{card}</body>") == want + "\nnext\nnext"
+    assert text(f"<body><main></main><div>{body}</div></body>") == want
+    assert text(f'<body><article>{body}</article><div class="sidebar">{card}</div><p>x</p></body>') == want
+
+
 def recursion(pages, p):
     """(pages, importance) by node, straight from the definition."""
     rows = [[row for _, row in ht.Page(h).nodes(p.depth)] for h in pages]

@@ -16,8 +16,10 @@ all below them. Equal pages of a host count once.
 
 Markup that states its role adds to the tree: elements, classes and roles of
 menus, footers, adverts and the like go even where a host has too few pages
-to tell. A page that marks its main part has no other; a page that doesn't
-keeps what is important. Inside article or main the tree cuts too, nodes on
+to tell, unless they hold the main part with half of the page's text, or
+nine tenths of the text of the page or main part. A page has no other main
+part than its main element, or its articles where these hold at least half
+of what is important; any other page keeps all that is important. Inside article or main the tree cuts too, nodes on
 at least the share ``wide`` of the host's pages; where such nodes hold more
 than half of a page's main text they are its body, and stay.
 
@@ -182,20 +184,33 @@ class Page:
             stack.append(number)
 
     def roles(self) -> tuple[list[bool], list[bool], bool]:
-        """(noise by markup, inside a main part, has one) per element."""
+        """(noise by markup, inside a main part, <main> or its role states one) per element."""
         if self._roles:
             return self._roles
-        noise, main = [False], [False]
+        named = [t in MAIN or ("main" in w and "role=main" in m) for t, w, m in zip(self.tag, self.words, self.mark)]
+        sizes, holds = [0] * len(self.tag), [False] * len(self.tag)
+        for node, text in self.runs:
+            sizes[node] += len("".join((text or "").split()))
+        for k in range(len(self.tag) - 1, 0, -1):
+            if self.hidden[k] or (self.tag[k] in NOISE_TAGS and self.tag[k] != "form"):
+                sizes[k] = 0  # noise whatever it holds
+            sizes[self.parent[k]] += sizes[k]
+            holds[self.parent[k]] |= holds[k] or named[k]
+        noise, main, root, stated = [False], [False], [0], False
         for k in range(1, len(self.tag)):
             up = self.parent[k]
-            inside = main[up] or self.tag[k] in MAIN or ("main" in self.words[k] and "role=main" in self.mark[k])
-            own = self.tag[k] in NOISE_TAGS or self.hidden[k] or bool(self.words[k] & NOISE_WORDS)
-            own = own or (not main[up] and (self.tag[k] == "header" or bool(self.words[k] & OUTER_WORDS)))
+            root.append(k if named[k] and not main[up] else root[up])
+            name = self.tag[k] == "form" or bool(self.words[k] & NOISE_WORDS) or (not main[up] and bool(self.words[k] & OUTER_WORDS))
+            # a name says nothing of what holds the main part, or nearly all there is
+            name = name and not ((holds[k] and sizes[k] * 2 >= sizes[0]) or sizes[k] * 10 >= sizes[root[up]] * 9 > 0)
+            own = name or self.hidden[k] or (self.tag[k] in NOISE_TAGS and self.tag[k] != "form")
+            own = own or (not main[up] and self.tag[k] == "header")
             # html and body hold the page whatever their classes say
             own = own and self.tag[k] not in ("html", "body") and not (self.tag[k] in MAIN and not main[up])
             noise.append(noise[up] or own)
-            main.append(inside and not noise[k])
-        self._roles = noise, main, any(main)
+            main.append((main[up] or named[k]) and not noise[k])
+            stated |= main[k] and named[k] and self.tag[k] != "article" and sizes[k] > 0
+        self._roles = noise, main, stated
         return self._roles
 
     def contents(self) -> list[str]:
@@ -241,16 +256,21 @@ class Page:
     def text(self, cut: set[int], wide: set[int] = frozenset()) -> str:
         """The text without noise and without the elements in ``cut``: blocks joined by line ends.
         Inside main parts only those also in ``wide`` go, and only if most of the main text stays."""
-        noise, main, marked = self.roles()
+        noise, main, stated = self.roles()
         low, inside = [False], [False]
         for k in range(1, len(self.tag)):
             up = self.parent[k]
             low.append(low[up] or (k in cut and not main[k] and not self._holds_main(k, main)))
             inside.append(inside[up] or (k in wide and main[k] and main[up]))
-        sizes = [0, 0]
+        sizes, outside = [0, 0], 0
         for node, text in self.runs:
-            if text and main[node] and not noise[node] and not low[node]:
-                sizes[inside[node]] += len("".join(text.split()))
+            if text and not noise[node] and not low[node]:
+                if main[node]:
+                    sizes[inside[node]] += len("".join(text.split()))
+                else:
+                    outside += len("".join(text.split()))
+        # articles that hold less than what is important beside them are cards, not the main part
+        marked = stated or (sum(sizes) > 0 and sum(sizes) >= outside)
         gone = [a or (b and sizes[1] <= sizes[0]) for a, b in zip(low, inside)]
         blocks, own = [], []
         for node, text in self.runs:
