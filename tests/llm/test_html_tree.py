@@ -142,3 +142,23 @@ def test_varied_text_among_children_is_important(spark):
              "h", 1, "t") for k in range(20)]
     out = {r.page_id: r.text for r in ht.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {k: text(h) for k, _, h, *_ in rows}
+
+
+def test_hosts_of_few_pages_and_deep_elements(spark, tables):
+    from topicloom.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefg", k=6))
+    menu = "<div><span>start</span> <span>about us</span></div>"
+    rows = []
+    for n in (2, 3, 7, 9):
+        for k in range(n):
+            body = f"<p>{' '.join(word() for _ in range(30))}</p>"
+            rows.append((len(rows), f"http://few{n}.example/{k}", f"<body>{menu}<div>{body}</div></body>", "h", 1, body[3:-4]))
+            page = "<div>" * 15 + menu + f"<div>{body}</div>" + "</div>" * 15
+            rows.append((len(rows), f"http://deep{n}.example/{k}", page, "h", 1, body[3:-4]))
+    near = [f"<body><p>{' '.join(['same'] * 40)}</p><p>{k}</p></body>" for k in range(2)]
+    rows += [(len(rows) + k, "http://near.example/", h, "h", 1, text(h)) for k, h in enumerate(near)]
+    where = tables(pages=spark.createDataFrame(rows, SCHEMA))
+    out = {r.page_id: r.text for r in QUERIES["op4_site_style_tree"](spark, where).collect()}
+    assert out == {k: want for k, _, _, _, _, want in rows}

@@ -29,7 +29,12 @@ one node on all pages.
 
 The tree is made of counted rows (host, node, style, content), aggregated
 map-side, and importance runs up from the deepest level; no task holds a
-host. Elements deeper than ``depth`` count as content of the one there.
+host. Elements deeper than ``depth`` are nodes too, all on its level, each
+weighed by its own content alone.
+
+Few pages are little evidence: on m pages the threshold is its share
+(1 - 1/m), and of a host with m pages no page loses more than that share of
+its text to the tree; if it would, the tree cuts nothing there.
 
 Defined cases: null html is empty, null url is the host ''; a page's text is
 the empty string if nothing is left; broken markup is read as browsers do
@@ -62,6 +67,9 @@ class Pruning:
     wide: float = 0.5
 
 
+#: For sites of any size; the default leaves hosts of few pages alone.
+ALL_HOSTS = Pruning(min_pages=2)
+
 # Roles that markup states.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
@@ -227,7 +235,7 @@ class Page:
 
     def nodes(self, depth: int, contents: bool = True) -> list[tuple[int, dict]]:
         """(element, row) of the style tree: all elements, those at the depth
-        limit as leaves. Text among children is a leaf too; what holds no text
+        limit and each one below it as a leaf. Text among children is a leaf too; what holds no text
         has no importance to give and no row."""
         content = self.contents() if contents else None
         out, todo = [], [(0, 0, 0, 0, 0, None)]
@@ -241,20 +249,23 @@ class Page:
                 continue
             key = _hash(parent, pstyle, place, self.tag[node], self.mark[node])
             below = self.children[node]
-            leaf = level >= depth or not any(c > 0 for c in below)
+            inner = any(c > 0 for c in below)
+            leaf = level >= depth or not inner
             names = ["#text" if c < 0 else f"{self.tag[c]} {self.mark[c]}" for c in below]
-            style = 0 if leaf else _hash(*(n for k, n in enumerate(names) if not k or n != names[k - 1])) or 1
-            out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": style,
+            style = _hash(*(n for k, n in enumerate(names) if not k or n != names[k - 1])) or 1
+            out.append((node, {"key": key, "parent": parent, "pstyle": pstyle, "style": 0 if leaf else style,
                                "content": _hash(content[node]) if leaf and contents else None, "depth": level}))
-            if not leaf:
+            if inner:
                 run = at = 0
                 for k, c in enumerate(below):
                     run, at = (run, at + 1) if k and names[k] == names[k - 1] else (run + 1, 0)
-                    todo.append((c, key, style, f"{run}.{at}", level + 1, (node, k)))
+                    if c > 0 or not leaf:
+                        todo.append((c, key, style, f"{run}.{at}", min(level + 1, depth), (node, k)))
         return out
 
-    def text(self, cut: set[int], wide: set[int] = frozenset()) -> str:
+    def text(self, cut: set[int], wide: set[int] = frozenset(), of: int | None = None) -> str:
         """The text without noise and without the elements in ``cut``: blocks joined by line ends.
+        ``of``: pages of the host, which bound what may go.
         Inside main parts only those also in ``wide`` go, and only if most of the main text stays."""
         noise, main, stated = self.roles()
         low, inside = [False], [False]
@@ -262,13 +273,18 @@ class Page:
             up = self.parent[k]
             low.append(low[up] or (k in cut and not main[k] and not self._holds_main(k, main)))
             inside.append(inside[up] or (k in wide and main[k] and main[up]))
-        sizes, outside = [0, 0], 0
+        sizes, outside, lowly = [0, 0], 0, 0
         for node, text in self.runs:
-            if text and not noise[node] and not low[node]:
-                if main[node]:
-                    sizes[inside[node]] += len("".join(text.split()))
+            if text and not noise[node]:
+                size = len("".join(text.split()))
+                if low[node]:
+                    lowly += size
+                elif main[node]:
+                    sizes[inside[node]] += size
                 else:
-                    outside += len("".join(text.split()))
+                    outside += size
+        if of and lowly * of > (lowly + sum(sizes) + outside) * (of - 1):
+            return self.text(set(), {k for k in wide if main[k]}, of)
         # articles that hold less than what is important beside them are cards, not the main part
         marked = stated or (sum(sizes) > 0 and sum(sizes) >= outside)
         gone = [a or (b and sizes[1] <= sizes[0]) for a, b in zip(low, inside)]
@@ -311,13 +327,13 @@ def page_nodes(depth: int):
 
 def page_text(depth: int):
     @arrow_udf("string")
-    def text(pages: pa.Array, cut: pa.Array) -> pa.Array:
+    def text(pages: pa.Array, cut: pa.Array, of: pa.Array) -> pa.Array:
         out = []
-        for source, keys in zip(pages, cut):
+        for source, keys, n in zip(pages, cut, of):
             page = Page(source.as_py() or "")
             keys = {k["key"]: k["wide"] for k in keys.as_py() or ()}
-            low = {n: keys[row["key"]] for n, row in page.nodes(depth, False) if row["key"] in keys} if keys else {}
-            out.append(page.text(set(low), {n for n, wide in low.items() if wide}))
+            low = {k: keys[row["key"]] for k, row in page.nodes(depth, False) if row["key"] in keys} if keys else {}
+            out.append(page.text(set(low), {k for k, wide in low.items() if wide}, n.as_py()))
         return pa.array(out, pa.string())
     return text
 
@@ -372,12 +388,13 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                               .select("host", "page", "n.*"), "nodes")
         weighed = importance(seen.drop("page"), p, tables.written)
         hosts = weighed.filter(F.col("key") == ROOT).select("host", F.col("pages").alias("of"))
-        low = weighed.filter((F.col("pages") >= p.min_pages) & (F.col("importance") < p.threshold)).join(hosts, "host")
-        low = tables.written(low.select("host", "key", (F.col("pages") >= p.wide * F.col("of")).alias("wide")), "low")
+        evidence = p.threshold * (1 - 1 / F.col("pages"))
+        low = weighed.filter((F.col("pages") >= p.min_pages) & (F.col("importance") < evidence)).join(hosts, "host")
+        low = tables.written(low.select("host", "key", "of", (F.col("pages") >= p.wide * F.col("of")).alias("wide")), "low")
         cut = (seen.select("host", "page", "key").join(low, ["host", "key"])
                .groupBy(F.col("host").alias("_host"), F.col("page").alias("_page"))
-               .agg(F.collect_list(F.struct("key", "wide")).alias("cut")))
+               .agg(F.collect_list(F.struct("key", "wide")).alias("cut"), F.first("of").alias("of")))
         cut = written(cut, "cut")
     out = page.join(cut, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
-    out = out.select("page_id", "url", page_text(p.depth)("html", "cut").alias("text"))
+    out = out.select("page_id", "url", page_text(p.depth)("html", "cut", "of").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

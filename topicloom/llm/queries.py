@@ -124,4 +124,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import html_tree
 
-    return html_tree.extracted(table(spark, sf_dir, "pages"))
+    return html_tree.extracted(table(spark, sf_dir, "pages"), p=html_tree.ALL_HOSTS)
