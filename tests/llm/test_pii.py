@@ -105,3 +105,25 @@ def test_digest_and_empty_table(spark):
     assert {r.doc_id: r.s for r in rows} == {1: "email:0:5,ip:6:13", 2: ""}
     assert all(r.h == hashlib.sha256(r.s.encode()).hexdigest() for r in rows)
     assert pii.spans(df.limit(0)).collect() == [] and pii.sanitised(df.limit(0)).collect() == []
+
+
+def test_rare_entities(spark, tables):
+    from topicloom.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    voc = ["word%s" % "".join(rng.choices("abcdef", k=2)) for _ in range(36)]
+    texts = [" ".join(rng.choices(voc, k=30)) for _ in range(500)]
+    texts[3] += " ask Zorblatt at zo@one.example today"
+    texts[5] += " ask Quimby at qu@two.example"
+    texts[7] += " Quimby is qu@two.example today"
+    texts.append(texts[3])
+    for k in range(10, 20):
+        texts[k] += f" Wexcorp u{k}@wex.example"
+    where = tables(documents=spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    found = defaultdict(set)
+    for r in QUERIES["op8_disclosure_sanitiser"](spark, where).collect():
+        found[r.doc_id] = {texts[r.doc_id][int(a):int(b)] for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"}
+    assert all("Zorblatt" in found[k] for k in (3, 500)) and all("Quimby" in found[k] for k in (5, 7))
+    assert all("Wexcorp" in found[k] for k in range(10, 20))
+    # words of many documents tell nothing
+    assert not any(w.startswith("word") for f in found.values() for w in f)

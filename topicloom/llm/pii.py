@@ -1,9 +1,10 @@
 """Operator 8: personal data by patterns, and information-theoretic sanitisation.
 
 Four patterns give the base spans (email, ip, card, phone). Each distinct
-value found is a protected entity. A term near it (a word within ``reach``
-words) may give it away even when the value itself is gone, so the corpus is
-asked how much it reveals: with counts over the N documents,
+value found is a protected entity, and so is the domain of an address. A
+term near it (a word within ``reach`` words) may give it away even when the
+value itself is gone, so the corpus is asked how much it reveals: with
+counts over the N documents,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = ln(N * n_both / (n_term * n_entity)) / ln(N / n_entity)
@@ -11,12 +12,14 @@ asked how much it reveals: with counts over the N documents,
 which is 1 where the term occurs nowhere but near the entity and 0 where
 they are independent. n_both counts documents with the term near the entity,
 n_term those with the term anywhere. Pairs seen in fewer than ``support``
-different texts aren't estimated. At ``generalise_at`` a term near that
+different texts are estimated with one text more, unseen, that has the term
+and not the entity (n_both / texts documents are added to n_term), so little
+evidence counts for less but isn't dropped. At ``generalise_at`` a term near that
 entity becomes a span and is replaced by its kind of word, at ``remove_at``
 it is removed.
 
 All counts are over whole texts of the whole corpus. n_term is counted only
-for terms of pairs with support; these pass a filter of fixed size, a task sums what it has read, and the sums are joined exactly.
+for terms near an entity; these pass a filter of fixed size, a task sums what it has read, and the sums are joined exactly.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; spans of different kinds may overlap, overlapping ones are
@@ -120,10 +123,10 @@ def near_terms(text: str, spans: list, reach: int):
         ranges.append((max(0, lo - reach), min(len(words), hi + reach)))
     out = set()
     for (kind, _, _, value), (lo, hi) in zip(spans, ranges):
-        entity = f"{KINDS[kind]}:{value}"
+        entities = [f"{KINDS[kind]}:{value}"] + ([f"domain:{value.partition('@')[2]}"] if kind == 0 else [])
         for k in range(lo, hi):
             if not covered[k] and (term := term_of(text[starts[k]:ends[k]])):
-                out.add((entity, term, starts[k], ends[k]))
+                out.update((entity, term, starts[k], ends[k]) for entity in entities)
     return sorted(out)
 
 
@@ -204,8 +207,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure,
     having = found.filter("size(near) > 0")
     near = written(having.select("key", F.explode(pairs).alias("m")).groupBy("key", "m.entity", "m.term")
                    .agg(F.count("*").alias("n")), "near")
-    both = (near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-            .filter(F.col("texts") >= d.support))
+    both = near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
     entities = (having.select(F.explode(F.array_distinct(F.transform("near", lambda m: m["entity"]))).alias("entity"))
                 .groupBy("entity").agg(F.count("*").alias("n_entity")))
     n = F.lit(float(found.count()))
@@ -215,7 +217,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure,
     shared = spark.sparkContext.broadcast(term_filter(terms, d.filter_bits))
     counts = (docs.select(F.col(text_col).alias("text")).mapInArrow(term_counts(shared, d.filter_bits), "term string, n bigint")
               .groupBy("term").agg(F.sum("n").alias("n_term")))
-    pmi = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    unseen = F.when(F.col("texts") < d.support, F.col("n_both") / F.col("texts")).otherwise(0.0)
+    pmi = F.log(n * F.col("n_both") / ((F.col("n_term") + unseen) * F.col("n_entity")))
     return (both.join(counts, "term").select("entity", "term", (pmi / ic).alias("disclosure"))
             .filter(F.col("disclosure") >= d.generalise_at))
 
