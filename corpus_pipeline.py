@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced in the texts."""
     bounded_batches(spark)
-    return pii.sanitised(docs, length_col="n_chars")
+    return pii.sanitised(docs, length_col="n_chars", d=pii.EVERYWHERE)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

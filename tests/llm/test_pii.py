@@ -127,3 +127,19 @@ def test_rare_entities(spark, tables):
     assert all("Wexcorp" in found[k] for k in range(10, 20))
     # words of many documents tell nothing
     assert not any(w.startswith("word") for f in found.values() for w in f)
+
+
+def test_terms_far_from_the_value_and_without_it(spark, tables):
+    from topicloom.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    voc = ["word%s" % "".join(rng.choices("abcdef", k=2)) for _ in range(36)]
+    texts = [" ".join(rng.choices(voc, k=40)) for _ in range(300)]
+    for k in range(5):
+        texts[k] = f"Zorblatt Wu jo@mail.example {texts[k]} (Zorblatt) and Wu"
+    texts[9] += " zorblatt"
+    where = tables(documents=spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    found = {r.doc_id: [texts[r.doc_id][int(a):int(b)] for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"]
+             for r in QUERIES["op8_disclosure_sanitiser"](spark, where).collect()}
+    assert all(found[k][:2] == ["Zorblatt", "Wu"] and {"(Zorblatt)", "Wu"} <= set(found[k][2:]) for k in range(5))
+    assert found[9] == ["zorblatt"] and not any(found[k] for k in range(10, 300))

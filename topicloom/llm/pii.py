@@ -14,9 +14,9 @@ they are independent. n_both counts documents with the term near the entity,
 n_term those with the term anywhere. Pairs seen in fewer than ``support``
 different texts are estimated with one text more, unseen, that has the term
 and not the entity (n_both / texts documents are added to n_term), so little
-evidence counts for less but isn't dropped. At ``generalise_at`` a term near that
-entity becomes a span and is replaced by its kind of word, at ``remove_at``
-it is removed.
+evidence counts for less but isn't dropped. At ``generalise_at`` the term becomes a span wherever it stands
+in a document that holds the entity, and is replaced by its kind of word; at
+``remove_at`` it is removed, and with ``everywhere`` from all documents.
 
 All counts are over whole texts of the whole corpus. n_term is counted only
 for terms near an entity; these pass a filter of fixed size, a task sums what it has read, and the sums are joined exactly.
@@ -61,6 +61,11 @@ class Disclosure:
     generalise_at: float = 0.85
     remove_at: float = 0.95
     filter_bits: int = 24
+    everywhere: bool = False
+
+
+#: Terms to remove go from documents without the value too.
+EVERYWHERE = Disclosure(everywhere=True)
 
 
 def luhn(digits: str) -> bool:
@@ -100,29 +105,33 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def term_of(word: str) -> str:
-    """The word in lower case without marks at its ends; '' if under three characters."""
+    """The word in lower case without marks at its ends; '' if of one character."""
     a, b = 0, len(word)
     while a < b and not word[a].isalnum():
         a += 1
     while b > a and not word[b - 1].isalnum():
         b -= 1
-    return word[a:b].lower() if b - a >= 3 else ""
+    return word[a:b].lower() if b - a >= 2 else ""
 
 
-def near_terms(text: str, spans: list, reach: int):
-    """(entity, term, start, end) of the words within reach of each span, outside all spans."""
-    if not spans:
-        return []
+def words_of(text: str, spans: list) -> tuple[list[int], list[int], np.ndarray]:
+    """(starts, ends, covered by a span) of the words."""
     words = [m.span() for m in WORD.finditer(text)]
     starts, ends = [w[0] for w in words], [w[1] for w in words]
     covered = np.zeros(len(words), bool)
-    ranges = []
     for _, a, b, _ in spans:
-        lo, hi = bisect_right(ends, a), bisect_left(starts, b)
-        covered[lo:hi] = True
-        ranges.append((max(0, lo - reach), min(len(words), hi + reach)))
+        covered[bisect_right(ends, a):bisect_left(starts, b)] = True
+    return starts, ends, covered
+
+
+def near_terms(text: str, spans: list, reach: int):
+    """(entity, term, start, end) of the words within reach of each span, outside all spans."""
+    if not spans:
+        return []
+    starts, ends, covered = words_of(text, spans)
     out = set()
-    for (kind, _, _, value), (lo, hi) in zip(spans, ranges):
+    for kind, a, b, value in spans:
+        lo, hi = max(0, bisect_right(ends, a) - reach), min(len(starts), bisect_left(starts, b) + reach)
         entities = [f"{KINDS[kind]}:{value}"] + ([f"domain:{value.partition('@')[2]}"] if kind == 0 else [])
         for k in range(lo, hi):
             if not covered[k] and (term := term_of(text[starts[k]:ends[k]])):
@@ -181,6 +190,33 @@ def term_counts(shared, bits: int):
     return count
 
 
+PLACE = pa.schema([("key", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def term_places(shared, bits: int):
+    """Batches of (key, text) -> (key, term, start, end) of the words outside base spans whose term's hash is in the filter."""
+    def place(batches):
+        cells = shared.value
+        for batch in batches:
+            for start, part in slices(batch.column(1)):
+                w = Words(part)
+                if not len(w.codes):
+                    continue
+                terms = [term_of(x) for x in w.vocabulary.to_pylist()]
+                spot = np.fromiter((xxhash.xxh3_64_intdigest(t) & ((1 << bits) - 1) for t in terms), np.int64, len(terms))
+                good = ((cells[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+                good &= np.fromiter(map(bool, terms), bool, len(terms))
+                wanted = {t for t, g in zip(terms, good) if g}
+                out = []
+                for k in np.unique(w.owners()[good[w.codes]]).tolist():
+                    text, key = part[k].as_py(), batch.column(0)[start + k].as_py()
+                    starts, ends, covered = words_of(text, base_spans(text))
+                    out += [(key, t, a, b) for a, b, c in zip(starts, ends, covered) if not c and (t := term_of(text[a:b])) in wanted]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PLACE.types)], schema=PLACE)
+    return place
+
+
 def term_filter(terms: DataFrame, bits: int) -> np.ndarray:
     """Packed bits of the terms' hashes: 2**bits / 8 bytes, whatever their number."""
     @arrow_udf("bigint")
@@ -234,9 +270,16 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, d: Disclosure, written)
     found = written(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"),
                                 scanned(d.reach)(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*"), "found")
     telling = written(disclosing(found.select("key", "near"), docs, text_col, d, written), "disclosing")
-    near = found.filter("size(near) > 0").select("key", F.explode("near").alias("m")).select("key", "m.*")
-    added = (near.join(telling, ["entity", "term"]).groupBy("key", "start", "end")
-             .agg(F.max("disclosure").alias("disclosure")).groupBy(F.col("key").alias("_key"))
+    entities = F.array_distinct(F.transform("near", lambda m: m["entity"]))
+    holding = found.filter("size(near) > 0").select("key", F.explode(entities).alias("entity")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(term_filter(telling.select("term").distinct(), d.filter_bits))
+    places = written(docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+                     .mapInArrow(term_places(shared, d.filter_bits), "key string, term string, start int, end int"), "places")
+    hits = places.join(holding.join(telling, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure")), ["key", "term"])
+    if d.everywhere:
+        gone = telling.filter(F.col("disclosure") >= d.remove_at).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+        hits = hits.unionByName(places.join(gone, "term").select(hits.columns))
+    added = (hits.groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure")).groupBy(F.col("key").alias("_key"))
              .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     return (found.select("doc_id", "key", "base").join(added, F.col("key") == F.col("_key"), "left")
             .select("doc_id", "key", "base", "terms"))
