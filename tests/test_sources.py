@@ -94,6 +94,20 @@ def test_line_numbers_across_many_splits(spark, tmpdir_path):
     assert got == dict(enumerate(lines))
 
 
+def test_whole_inputs_take_part(spark):
+    from topicloom.plans.catalog import QUERIES
+    from topicloom.plans.derive import topic_runs
+
+    sf = "/root/testdata/sf0.001"
+    whole = QUERIES["json_map_counts_whole"](spark, sf)
+    per = {r["lang"]: r["count"] for r in whole.groupBy("lang").count().collect()}
+    assert min(per.values()) > 50 and whole.select("lang", "token").distinct().count() == sum(per.values())
+    cut = QUERIES["json_map_counts"](spark, sf)
+    assert cut.exceptAll(whole).count() == 0
+    long = {r["run"] for r in topic_runs(spark, sf).filter("size(words) >= 10").collect()}
+    assert long & {r["run"] for r in QUERIES["timeseries_repeated_words_whole"](spark, sf).select("run").distinct().collect()}
+
+
 def test_more_sinks(spark, tmpdir_path):
     errs = spark.createDataFrame([(0, 0.25, ["a", "b"])], "cluster int, err_mean double, words array<string>")
     assert K.cluster_errs_csv(errs).collect()[0]["line"] == "0, 0.25, a b"

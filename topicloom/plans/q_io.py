@@ -90,6 +90,20 @@ def q_json_map_counts(spark, sf_dir):
     return js.select("lang", F.explode(R.parse_json_map(F.col("value"), "bigint")).alias("token", "n"))
 
 
+@register("json_map_counts_whole", sql=WORDS_BY_LANG + """
+SELECT lang, token, CAST(n AS BIGINT) AS n FROM cnt""")
+def q_json_map_counts_whole(spark, sf_dir):
+    """SRC-6 over all counts: JSON objects per language and hash block (65,536), so objects stay small."""
+    from topicloom.functions.text import tokens
+    from topicloom.plans.tables import cleaned_corpus
+    t = cleaned_corpus(spark, sf_dir).select("lang", F.explode(tokens(F.col("text"))).alias("token"))
+    n = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("token"), F.lit(1 << 16))
+    js = n.groupBy("lang", block.alias("block")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("value"))
+    return js.select("lang", F.explode(R.parse_json_map(F.col("value"), "bigint")).alias("token", "n"))
+
+
 EVALUATIONS_SQL = S.ctes(S.TOPICS_CTE) + """
 SELECT CASE WHEN model = 'lang' THEN 'vox_corpus' ELSE 'corpus' END AS corpus, model AS embed, 'spherical' AS variant,
        CAST(k AS BIGINT) AS k, 'clusters' AS kind, CAST(cluster AS VARCHAR) AS cluster, CAST(len(words) AS DOUBLE) AS mean,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from topicloom.operators import timeseries as ts
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
-from topicloom.plans.registry import register
+from topicloom.plans.registry import ORACLE, register
 from topicloom.plans.tables import cleaned_documents
 
 QUERY_WORDS = ["the", "of"]
@@ -114,8 +114,8 @@ ph AS (SELECT x.doc_id, x.word AS a, y.word AS b, count(*) AS hits FROM vt x, ra
 """
 
 
-def _gap_inputs(spark, sf_dir):
-    topics = topic_runs(spark, sf_dir).filter(F.size("words") < 10)
+def _gap_inputs(spark, sf_dir, whole=False):
+    topics = topic_runs(spark, sf_dir).filter(F.lit(True) if whole else F.size("words") < 10)
     clusters = topics.select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
     dates = doc_dates(spark, sf_dir).filter("doc_id % 7 <> 3").withColumn("date", F.expr("CASE WHEN doc_id % 5 <> 0 THEN date END"))
     return clusters, cleaned_documents(spark, sf_dir), dates
@@ -158,6 +158,33 @@ def q_date_score_lines(spark, sf_dir):
     return lines.select("run", F.col("cluster").cast("bigint"), "line")
 
 
+def _whole(sql):
+    """The same over topics of every size."""
+    return sql.replace("FROM topics WHERE len(words) < 10", "FROM topics")
+
+
+@register("timeseries_repeated_words_whole", sql=_whole(ORACLE["timeseries_repeated_words"]))
+def q_timeseries_repeated_words_whole(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
+    out = ts.cluster_timeseries(clusters, docs, dates)
+    return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"), F.col("score").cast("bigint"))
+
+
+@register("timeseries_running_gaps_whole", sql=_whole(ORACLE["timeseries_running_gaps"]))
+def q_timeseries_running_gaps_whole(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
+    out = ts.cluster_timeseries(clusters, docs, dates, mode="last_pair_running")
+    return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
+                      F.col("date").cast("string"), F.col("score").cast("bigint"))
+
+
+@register("date_score_lines_whole", sql=_whole(ORACLE["date_score_lines"]))
+def q_date_score_lines_whole(spark, sf_dir):
+    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
+    lines = ts.date_score_lines(ts.cluster_timeseries(clusters, docs, dates))
+    return lines.select("run", F.col("cluster").cast("bigint"), "line")
+
+
 @register("timeseries_weekly_wide", sql=S.ctes(TS_CTE) + """,
 one AS (SELECT * FROM tsd WHERE run = 'lang_4' AND cluster < 2),
 wk AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS week, cluster, sum(score) AS score FROM one GROUP BY 1, 2),
