@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the pipeline."""
+"""The registered queries of the thirteen operators."""
 
 from __future__ import annotations
 
@@ -125,3 +125,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm import html_tree
 
     return html_tree.extracted(table(spark, sf_dir, "pages"), p=html_tree.ALL_HOSTS)
+
+
+@query("op11_lyndon_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import periodic
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("given"))
+    found = periodic.detected(docs.withColumn("text", periodic.looped(F.col("doc_id"), F.col("given"))))
+    best = found.withColumn("best", periodic.longest(F.col("runs")))
+    length, period = -F.col("best.minus"), F.col("best.period")
+    return best.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+                       period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+                       F.sha2(periodic.told(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_branch_and_bound", """
+WITH good AS (
+  SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT q.key, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.key ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id NULLS LAST) AS rank
+  FROM good q JOIN good c ON q.key <> c.key WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM met WHERE rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import topk
+
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_bit_sliced_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm import whitening
+
+    rows = whitening.components(*whitening.whitened(table(spark, sf_dir, "embeddings")))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
