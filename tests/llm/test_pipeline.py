@@ -105,5 +105,5 @@ def test_empty_tables(spark, tables):
 
 def test_registered():
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d", n)}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d", n)}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
