@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Bytes of text that a task turns into word arrays at a time (a longer text
 #: is worked on whole, by itself).
@@ -137,6 +138,32 @@ def dropped(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Cells of a ``maybe_in`` filter: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def cells_of(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Packed bits of the low ``bits`` of the one column of hashes: a filter of
+    2**bits / 8 bytes, whatever their number. It has no false negatives."""
+    name = hashes.columns[0]
+    spot = hashes.select(F.expr(f"{name} & {(1 << bits) - 1}L").alias("_spot"))
+    cells = spot.groupBy(F.shiftright("_spot", 6).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(_spot & 63))")).alias("set")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64).view(np.uint64)
+    return out.view(np.uint8)
+
+
+def maybe_in(shared, bits: int = FILTER_BITS):
+    """hash -> whether its cell is set in the broadcast filter (null: false)."""
+    @arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        h = hashes.fill_null(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        hit = (shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1
+        return pc.and_(pa.array(hit.astype(bool)), pc.is_valid(hashes))
+    return test
+
+
 class Tables:
     """Tables that are read only inside a with block, deleted at its end."""
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import Tables, Words, mix, slices, window_hashes, written
+from topicloom.llm.common import Tables, Words, cells_of, maybe_in, mix, slices, window_hashes, written
 
 
 @dataclass(frozen=True)
@@ -305,12 +305,18 @@ def marks():
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Sketching = Sketching()) -> DataFrame:
     """One row of each class: the document with the smallest id (of repeated
-    rows of one id, one). Rows without an id all stay."""
-    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    rows of one id, one). Rows without an id all stay.
+
+    Only ids are joined to the verdicts of most rows: a filter of fixed size
+    knows the ids that may go or repeat, and the rows that pass it are the
+    only ones to be shuffled; all others are read and handed on."""
     found = classes(docs, id_col, text_col, s)
-    gone = found.filter("!kept").select(F.col("doc_id").alias("gone")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1 AND again IS NOT NULL").select("again")
-    stay = marked.join(gone, F.col("id") == F.col("gone"), "left_anti")
-    single = stay.join(again, F.col("id") == F.col("again"), "left_anti")
-    repeated = stay.join(again, F.col("id") == F.col("again"), "left_semi").dropDuplicates(["id"])
-    return single.unionByName(repeated).select("row.*")
+    special = written(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_stays"), F.count("*").alias("_rows"))
+                      .filter("NOT _stays OR _rows > 1").select("_id", "_stays"), "verdicts")
+    shared = docs.sparkSession.sparkContext.broadcast(cells_of(special.select(F.xxhash64("_id").alias("_h"))))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    rows = rows.withColumn("maybe", maybe_in(shared)(F.when(F.col("id").isNotNull(), F.xxhash64("id"))))
+    judged = rows.filter("maybe").join(special, F.col("id") == F.col("_id"), "left")
+    repeated = judged.filter("_stays").dropDuplicates(["id"])
+    return (rows.filter("NOT maybe").select("row.*").unionByName(judged.filter("_id IS NULL").select("row.*"))
+            .unionByName(repeated.select("row.*")))
