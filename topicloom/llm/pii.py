@@ -11,15 +11,24 @@ counts over the N documents,
 
 which is 1 where the term occurs nowhere but near the entity and 0 where
 they are independent. n_both counts documents with the term near the entity,
-n_term those with the term anywhere. Pairs seen in fewer than ``support``
-different texts are estimated with one text more, unseen, that has the term
-and not the entity (n_both / texts documents are added to n_term), so little
-evidence counts for less but isn't dropped. At ``generalise_at`` the term becomes a span wherever it stands
-in a document that holds the entity, and is replaced by its kind of word; at
-``remove_at`` it is removed, and with ``everywhere`` from all documents.
-
-All counts are over whole texts of the whole corpus. n_term is counted only
-for terms near an entity; these pass a filter of fixed size, a task sums what it has read, and the sums are joined exactly.
+n_term those with the term anywhere.
+
+Rare words surround any value by chance, so few meetings are weak evidence.
+A pair that met in fewer than ``support`` different texts is judged by the
+lower confidence limit (Wilson, ``confidence`` standard errors) of the share
+n_both / n_term, estimated without its first text: one meeting alone tells
+nothing. A term that is written as a name wherever it met the entity (a
+capital inside a sentence) counts as one meeting more. At ``generalise_at``
+the term becomes a span wherever it stands in a document that holds the
+entity, and is replaced by its kind of word; at ``remove_at`` it is removed,
+and with ``everywhere`` from all documents.
+
+All counts are over whole texts of the whole corpus. A pair can only reach
+the threshold while n_term <= n_both * (N / n_entity)^(1 - generalise_at), and
+n_term is at least the number of documents with the term near any entity: most
+words near a value are too common by this bound, which drops no pair that could
+reach it. n_term is counted for the terms that are left; these pass a filter of
+fixed size, a task sums what it has read, and the sums are joined exactly.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; spans of different kinds may overlap, overlapping ones are
@@ -41,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import Tables, Words, slices, text_of, written
+from topicloom.llm.common import Tables, Words, cells_of, maybe_in, slices, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -58,6 +67,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 class Disclosure:
     reach: int = 10
     support: int = 3
+    confidence: float = 1.0
     generalise_at: float = 0.85
     remove_at: float = 0.95
     filter_bits: int = 24
@@ -139,20 +149,37 @@ def near_terms(text: str, spans: list, reach: int):
     return sorted(out)
 
 
+def names_at(text: str, spans: list) -> set[int]:
+    """Starts of the words written as a name: a capital and small letters, after a word that ends no sentence or line."""
+    starts, ends, covered = words_of(text, spans)
+    out, last = set(), -1
+    for k in np.flatnonzero(~covered).tolist():
+        word = text[starts[k]:ends[k]].lstrip("([{\"'«“‘")
+        if last >= 0 and word[:1].isupper() and word[1:2].islower() and text[ends[last] - 1] not in ".!?:;…\"”»" \
+                and "\n" not in text[ends[last]:starts[k]]:
+            out.add(starts[k])
+        last = k
+    return out
+
+
 BASE_TYPE = "array<struct<kind:int,start:int,end:int>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("name", pa.bool_())])
 
 
 def scanned(reach: int):
-    @arrow_udf(f"struct<base:{BASE_TYPE},near:array<struct<entity:string,term:string,start:int,end:int>>>")
+    @arrow_udf(f"struct<base:{BASE_TYPE},near:array<struct<entity:string,term:string,start:int,end:int,name:boolean>>>")
     def scan(texts: pa.Array) -> pa.Array:
         base, near = [], []
         for text in texts:
             text = text.as_py() or ""
             spans = base_spans(text)
             base.append([{"kind": k, "start": a, "end": b} for k, a, b, _ in spans])
-            near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(text, spans, reach)])
+            places, named = near_terms(text, spans, reach), {}
+            names = names_at(text, spans) if places else ()
+            for e, t, a, _ in places:
+                named[e, t] = named.get((e, t), True) and a in names
+            near.append([{"entity": e, "term": t, "start": a, "end": b, "name": named[e, t]} for e, t, a, b in places])
         return pa.StructArray.from_arrays([pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))],
                                           ["base", "near"])
     return scan
@@ -218,44 +245,55 @@ def term_places(shared, bits: int):
 
 
 def term_filter(terms: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the terms' hashes: 2**bits / 8 bytes, whatever their number."""
+    """Packed bits of the terms' hashes."""
     @arrow_udf("bigint")
     def spot(t: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_64_intdigest(x) & ((1 << bits) - 1) for x in t.to_pylist()], pa.int64())
 
-    cells = terms.select(spot("term").alias("spot")).groupBy(F.shiftright("spot", 6).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("set")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64).view(np.uint64)
-    return out.view(np.uint8)
+    return cells_of(terms.select(spot("term").alias("spot")), bits)
 
 
 def text_key(text_col: str = "text") -> Column:
     return F.md5(F.encode(text_of(text_col), "UTF-8"))
 
 
+def lower_limit(hits: Column, trials: Column, z: float) -> Column:
+    """Wilson's lower confidence limit of a share."""
+    p, zz = hits / trials, z * z
+    middle = p + zz / (2 * trials)
+    return (middle - z * F.sqrt(p * (1 - p) / trials + zz / (4 * trials * trials))) / (1 + zz / trials)
+
+
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str, d: Disclosure, written) -> DataFrame:
     """(entity, term, disclosure) at or over the lower threshold.
 
     ``found``: (key, near) of all documents."""
     spark = docs.sparkSession
-    pairs = F.array_distinct(F.transform("near", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))
+    pairs = F.array_distinct(F.transform("near", lambda m: F.struct(*(m[c].alias(c) for c in ("entity", "term", "name")))))
     having = found.filter("size(near) > 0")
-    near = written(having.select("key", F.explode(pairs).alias("m")).groupBy("key", "m.entity", "m.term")
+    near = written(having.select("key", F.explode(pairs).alias("m")).groupBy("key", "m.entity", "m.term", "m.name")
                    .agg(F.count("*").alias("n")), "near")
-    both = near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    both = near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.bool_and("name").alias("name"))
     entities = (having.select(F.explode(F.array_distinct(F.transform("near", lambda m: m["entity"]))).alias("entity"))
                 .groupBy("entity").agg(F.count("*").alias("n_entity")))
+    # at least so many documents hold the term
+    least = (near.groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("least")))
     n = F.lit(float(found.count()))
     ic = F.log(n / F.col("n_entity"))
-    both = written(both.join(entities, "entity").filter(ic > 0), "both")
+    meetings = F.col("texts") - 1 + F.col("name").cast("int")
+    limit = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - d.generalise_at)) * (1 + 1e-9)
+    both = (both.join(entities, "entity").filter((ic > 0) & ((F.col("texts") >= d.support) | (meetings > 0)))
+            .join(least, "term").filter(F.col("least") <= limit))
+    both = written(both, "both")
     terms = both.select("term").distinct()
     shared = spark.sparkContext.broadcast(term_filter(terms, d.filter_bits))
     counts = (docs.select(F.col(text_col).alias("text")).mapInArrow(term_counts(shared, d.filter_bits), "term string, n bigint")
               .groupBy("term").agg(F.sum("n").alias("n_term")))
-    unseen = F.when(F.col("texts") < d.support, F.col("n_both") / F.col("texts")).otherwise(0.0)
-    pmi = F.log(n * F.col("n_both") / ((F.col("n_term") + unseen) * F.col("n_entity")))
-    return (both.join(counts, "term").select("entity", "term", (pmi / ic).alias("disclosure"))
+    share = F.col("n_both") / F.col("n_term")
+    # in texts, so that copies add no evidence, and without the first
+    trials = F.col("texts") / share - 1 + F.col("name").cast("int")
+    share = F.when(F.col("texts") >= d.support, share).otherwise(lower_limit(meetings.cast("double"), trials, d.confidence))
+    return (both.join(counts, "term").select("entity", "term", (F.log(n * share / F.col("n_entity")) / ic).alias("disclosure"))
             .filter(F.col("disclosure") >= d.generalise_at))
 
 
@@ -318,13 +356,20 @@ def sanitised_text(remove_at: float):
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
               d: Disclosure = Disclosure()) -> DataFrame:
-    """``docs`` with the spans of each text replaced; ``length_col``, if given, gets the new length."""
+    """``docs`` with the spans of each text replaced; ``length_col``, if given, gets the new length.
+
+    A filter of fixed size knows the texts that hold terms; only rows that
+    pass it are shuffled to meet them, the others need their patterns alone."""
     more = (spans(docs, id_col, text_col, d).filter("terms IS NOT NULL").groupBy(F.col("key").alias("_key"))
             .agg(F.first("terms").alias("terms")))
     more = written(more, "terms")
+    shared = docs.sparkSession.sparkContext.broadcast(cells_of(more.select(F.xxhash64("_key").alias("_h"))))
     rows = docs.select(F.struct("*").alias("row"), text_key(text_col).alias("key"))
-    new = (rows.join(more, F.col("key") == F.col("_key"), "left")
-           .select("row", sanitised_text(d.remove_at)(F.col("row")[text_col], F.col("terms")).alias("clean")))
+    rows = rows.withColumn("maybe", maybe_in(shared)(F.xxhash64("key")))
+    none = F.lit(None).cast(more.schema["terms"].dataType)
+    met = (rows.filter("maybe").join(more, F.col("key") == F.col("_key"), "left").select("row", "terms")
+           .unionByName(rows.filter("NOT maybe").select("row", none.alias("terms"))))
+    new = met.select("row", sanitised_text(d.remove_at)(F.col("row")[text_col], F.col("terms")).alias("clean"))
     columns = {text_col: F.col("clean")}
     if length_col:
         columns[length_col] = F.length("clean").cast(docs.schema[length_col].dataType)
