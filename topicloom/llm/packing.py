@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -236,52 +237,106 @@ def exchange(full: Counter, low: Counter, room: int) -> tuple[Counter, Counter]
     return choice
 
 
-def improved(groups: list[list], size: int, rounds: int = 2000) -> list[list]:
-    """Local search between underfull bins; every exchange raises the sum of
-    squared fills, so it ends. ``rounds`` bounds the exchanges tried on."""
-    fill = lambda c: sum(k * v for k, v in c.items())
-    merged: dict[tuple, int] = {}
+class Loose:
+    """The underfull groups by what a bin of theirs can give: for each length,
+    and each sum of two, the groups that hold it, least filled first."""
+
+    def __init__(self, size: int):
+        self.size, self.bins = size, {}
+        self.heaps: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.there = [0, 0]  # which lengths and sums have a heap, as bits
+
+    def shift(self, key: tuple, n: int) -> None:
+        before = self.bins.get(key, 0)
+        if before + n:
+            self.bins[key] = before + n
+        else:
+            del self.bins[key]
+        if before or filled(key) >= self.size:
+            return
+        lengths = [k for k, _ in key]
+        twos = {a + b for i, a in enumerate(lengths) for b in lengths[i:]
+                if a != b or dict(key)[a] > 1}
+        for kind, sums in enumerate((lengths, twos)):
+            for s in sums:
+                heappush(self.heaps[kind].setdefault(s, []), (filled(key), key))
+                self.there[kind] |= 1 << s
+
+    def least(self, kind: int, s: int, besides: tuple) -> tuple | None:
+        """(fill, group) of the least filled group that can give ``s``; ``besides`` only if it has two bins."""
+        heap, aside = self.heaps[kind][s], None
+        while heap:
+            fill, key = heap[0]
+            if key not in self.bins or (aside and key == aside[1]):
+                heappop(heap)
+            elif key == besides and self.bins[key] < 2:
+                aside = heappop(heap)
+            else:
+                break
+        found = heap[0] if heap else None
+        if aside:
+            heappush(heap, aside)
+        if not heap:
+            self.there[kind] &= ~(1 << s)
+        return found
+
+    def partner(self, full: tuple) -> tuple | None:
+        """The group whose exchange raises the fill of ``full`` most (ties: the least filled)."""
+        own, room = filled(full), self.size - filled(full)
+        lengths = [k for k, _ in full]
+        gives = {0: 0} | {a + b: 2 for i, a in enumerate(lengths) for b in lengths[i:] if a != b or dict(full)[a] > 1} | {k: 1 for k in lengths}
+        best = None
+        for given, count in gives.items():
+            for kind in (0, 1) if count == 1 else (0,):  # two are taken for one only
+                open_ = self.there[kind] & ((1 << (given + room + 1)) - 1)
+                while open_:
+                    s = open_.bit_length() - 1
+                    if s <= given or (best and s - given < best[0]):
+                        break
+                    found = self.least(kind, s, full)
+                    if found and found[0] <= own:
+                        rank = (s - given, -found[0])
+                        if not best or rank > best[:2]:
+                            best = (*rank, found[1])
+                        break
+                    open_ ^= 1 << s
+        return best[2] if best else None
+
+
+def filled(key: tuple) -> int:
+    return sum(k * v for k, v in key)
+
+
+def improved(groups: list[list], size: int) -> list[list]:
+    """Local search between underfull bins until no exchange of any two gains.
+
+    Every exchange raises the sum of squared fills, a whole number, so it
+    ends. Groups are tried from the fullest on; those that an exchange has
+    made or changed are tried again, in turns, until a turn changes nothing
+    or the bins are as few as their content allows."""
+    loose = Loose(size)
     for content, bins in groups:
-        key = tuple(sorted(content.items()))
-        merged[key] = merged.get(key, 0) + bins
-    total = sum(fill(dict(k)) * n for k, n in merged.items())
-    least = -(-total // size)
-
-    def shift(key, n):
-        merged[key] = merged.get(key, 0) + n
-        if not merged[key]:
-            del merged[key]
-
-    stuck = set()
-    for _ in range(rounds):
-        if sum(merged.values()) <= least:
-            break
-        loose = sorted((k for k in merged if fill(dict(k)) < size), key=lambda k: (fill(dict(k)), k))
-        done = False
-        for low in loose:
-            for full in reversed(loose):
-                if fill(dict(full)) < fill(dict(low)) or (full == low and merged[low] < 2) or (full, low) in stuck:
-                    continue
-                found = exchange(Counter(dict(full)), Counter(dict(low)), size - fill(dict(full)))
-                if not found:
-                    stuck.add((full, low))
-                    continue
-                out, into = found
-                times = merged[low] // 2 if full == low else min(merged[full], merged[low])
+        loose.shift(tuple(sorted(content.items())), bins)
+    count = sum(loose.bins.values())
+    least = -(-sum(filled(k) * n for k, n in loose.bins.items()) // size)
+    changed = True
+    while changed and count > least:
+        changed = False
+        for full in sorted((k for k in loose.bins if filled(k) < size), key=lambda k: (-filled(k), k)):
+            while full in loose.bins and count > least and (low := loose.partner(full)):
+                out, into = exchange(Counter(dict(full)), Counter(dict(low)), size - filled(full))
+                times = loose.bins[low] // 2 if full == low else min(loose.bins[full], loose.bins[low])
                 new_full = Counter(dict(full)) - out + into
                 new_low = Counter(dict(low)) - into + out
-                shift(full, -times)
-                shift(low, -times)
-                shift(tuple(sorted(new_full.items())), times)
+                loose.shift(full, -times)
+                loose.shift(low, -times)
+                loose.shift(tuple(sorted(new_full.items())), times)
                 if new_low:
-                    shift(tuple(sorted(new_low.items())), times)
-                done = True
-                break
-            if done:
-                break
-        if not done:
-            break
-    return [[Counter(dict(k)), n] for k, n in sorted(merged.items())]
+                    loose.shift(tuple(sorted(new_low.items())), times)
+                else:
+                    count -= times
+                changed = True
+    return [[Counter(dict(k)), n] for k, n in sorted(loose.bins.items())]
 
 
 def plan(counts: dict[int, int], size: int) -> np.ndarray:
