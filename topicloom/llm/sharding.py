@@ -67,30 +67,34 @@ def grown(t: Tree) -> Tree:
     return Tree((*t.regions, Node(f"region{r}", (Node(f"region{r}/rack0", (Node(f"shard{n}", shard=n),)),))))
 
 
-def draw(key: Column, node: Node) -> Column:
+def draw(key: Column, name: Column, weight: Column) -> Column:
     """ln(u) / weight with u in (0, 1) from 52 bits of the hash of key and name."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 12)
-    return F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(node.weight))
-
-
-def descend(key: Column, children: tuple[Node, ...]) -> Column:
-    """The shard that wins below these children; children of weight 0 take no part."""
-    live = [c for c in children if c.weight > 0]
-    best = F.greatest(*(draw(key, c) for c in live)) if len(live) > 1 else F.lit(0.0)
-
-    def under(c: Node) -> Column:
-        return descend(key, c.children) if c.children else F.lit(c.shard)
-
-    if len(live) == 1:
-        return under(live[0])
-    out = under(live[-1])
-    for c in reversed(live[:-1]):
-        out = F.when(draw(key, c) == best, under(c)).otherwise(out)
-    return out
+    bits = F.shiftrightunsigned(F.xxhash64(key, name), 12)
+    return F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
 def shard_of(key: Column, t: Tree) -> Column:
-    return descend(F.coalesce(key.cast("string"), F.lit("null")), t.regions)
+    """The shard where the descent ends; children of weight 0 take no part.
+
+    The tree is a constant table from node to children. Each level looks up
+    the children of the node that it has come to and takes one maximum over
+    their draws, so a row costs the draws on its path, and the expression
+    grows with the tree, not with its square."""
+    key = F.coalesce(key.cast("string"), F.lit("null"))
+    nodes, deep = [Node("", t.regions)], [0]
+    children: list[list[int]] = []
+    for number, node in enumerate(nodes):  # grows as it goes
+        live = [c for c in node.children if c.weight > 0]
+        children.append(list(range(len(nodes), len(nodes) + len(live))) or [number])
+        nodes += live
+        deep += [deep[number] + 1] * len(live)
+    entry = lambda k: F.struct(F.lit(nodes[k].name).alias("name"), F.lit(float(nodes[k].weight)).alias("weight"), F.lit(k).alias("node"))
+    table = F.array(*(F.array(*map(entry, own)) for own in children))
+    at = F.lit(0)
+    for _ in range(max(deep)):
+        draws = F.transform(F.element_at(table, at + 1), lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("draw"), (-c["node"]).alias("minus")))
+        at = -F.array_max(draws)["minus"]
+    return F.element_at(F.array(*(F.lit(n.shard) for n in nodes)), at + 1)
 
 
 def sharded(docs: DataFrame, t: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
