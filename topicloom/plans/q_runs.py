@@ -14,18 +14,16 @@ from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import register
 from topicloom.plans.tables import cleaned_documents
+from topicloom.session import materialised
 
 GRID_MODELS = ["lang", "source"]
 GRID_RANGE = "1..12"
 
 
-def coherence_scores(spark, sf_dir):
-    """The evaluation table (run, cluster, mean, median)."""
-    return coh.topic_coherence_from_docs(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir))
-
-
-def _scored(spark, sf_dir):
-    return topic_runs(spark, sf_dir), coherence_scores(spark, sf_dir)
+def scored(spark, sf_dir):
+    """(topics, evaluation table (run, cluster, mean, median)), each a table of its own: what reads them plans neither again."""
+    topics = materialised(topic_runs(spark, sf_dir), "topics")
+    return topics, materialised(coh.topic_coherence_from_docs(topics, cleaned_documents(spark, sf_dir)), "scores")
 
 
 RUNS_CTE = S.ctes(S.NGRAM_CTE, S.TOPICS_CTE, S.PAIRS_CTE) + """,
@@ -40,7 +38,7 @@ ok AS (SELECT * FROM sc WHERE score IS NOT NULL AND NOT isnan(score))
 SELECT CAST(row_number() OVER (ORDER BY round(score, 6) + 0.0, run, label, cluster) AS BIGINT) AS rank,
        round(score, 6) + 0.0 AS score, run, CAST(cluster AS BIGINT) AS cluster, label FROM ok""")
 def q_rank_all(spark, sf_dir):
-    topics, scores = _scored(spark, sf_dir)
+    topics, scores = scored(spark, sf_dir)
     r = R.rank_all(scores, topics)
     return r.select(F.col("rank").cast("bigint"), F.round("score", 6).alias("score"), "run",
                     F.col("cluster").cast("bigint"), "label")
@@ -51,7 +49,7 @@ SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, * FROM
   SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(run)), ' ') AS runs
   FROM ok GROUP BY round(score, 6) + 0.0, label)""")
 def q_rank_combined(spark, sf_dir):
-    topics, scores = _scored(spark, sf_dir)
+    topics, scores = scored(spark, sf_dir)
     r = R.rank_combined(scores, topics)
     return r.select(F.col("rank").cast("bigint"), "score", "label", F.array_join("runs", " ").alias("runs"))
 
@@ -63,7 +61,7 @@ SELECT model, run, CAST({step} * row_number() OVER (ORDER BY round(score, 6) + 0
 
 
 def _ranked_series(spark, sf_dir, step):
-    topics, scores = _scored(spark, sf_dir)
+    topics, scores = scored(spark, sf_dir)
     r = R.rank_all(scores, topics)
     s = R.ranked_series(r, F.split("run", "_").getItem(0), step=step)
     return s.select("model", "run", F.col("x").cast("bigint"), F.round("score", 6).alias("score"),
@@ -85,7 +83,7 @@ SELECT model AS embed, 'topk' AS variant, 'clusters' AS kind, CAST(k AS BIGINT)
        round(avg(score), 6) + 0.0 AS mean, round(median(median), 6) + 0.0 AS median
 FROM sc WHERE k <= 1000 GROUP BY model, k""")
 def q_run_curves(spark, sf_dir):
-    topics, scores = _scored(spark, sf_dir)
+    topics, scores = scored(spark, sf_dir)
     s = (scores.join(topics.select("run", "cluster", "model", "k"), ["run", "cluster"])
          .withColumnRenamed("model", "embed").withColumn("variant", F.lit("topk"))
          .withColumn("kind", F.lit("clusters")))
@@ -131,7 +129,7 @@ SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, * FROM
   FROM twice GROUP BY round(score, 6) + 0.0, label)""")
 def q_rank_combined_repeats(spark, sf_dir):
     """Two equal clusters of one run list that run twice (AGG-14)."""
-    topics, scores = _scored(spark, sf_dir)
+    topics, scores = scored(spark, sf_dir)
     again = lambda d: d.unionByName(d.filter("cluster % 2 = 0").withColumn("cluster", F.col("cluster") + 100000))
     r = R.rank_combined(again(scores), again(topics))
     return r.select(F.col("rank").cast("bigint"), "score", "label", F.array_join("runs", " ").alias("runs"))
@@ -146,3 +144,13 @@ def q_coherence_from_tables(spark, sf_dir):
     c = coh.topic_coherence(topic_runs(spark, sf_dir), uni, bi)
     blank = lambda x: F.when(F.isnan(x), F.lit(None)).otherwise(F.round(x, 6)).alias(x)
     return c.select("run", F.col("cluster").cast("bigint"), blank("mean"), blank("median"))
+
+
+@register("rank_combined_lines", sql=RUNS_CTE + """
+SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, score || ' (' || label || ') [' || runs || ']' AS line FROM (
+  SELECT round(score, 6) + 0.0 AS score, label, array_to_string(list_sort(list(run)), ' ') AS runs
+  FROM ok GROUP BY round(score, 6) + 0.0, label)""")
+def q_rank_combined_lines(spark, sf_dir):
+    """SCL-36: the 'score (words) [runs]' lines themselves."""
+    topics, scores = scored(spark, sf_dir)
+    return R.rank_combined(scores, topics).select(F.col("rank").cast("bigint"), "line")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for. AQE re-plans joins and coalesces
 # shuffle partitions at run time; skew-join splitting covers hot keys that
@@ -56,3 +57,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; deleted when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: what follows reads it instead
+    of planning and computing it again, also after an executor is lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
