@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double(v: Column) -> Column:
@@ -52,9 +53,26 @@ def l2_normalize(a: Column) -> Column:
 ERRORS = {"euclidean": euclidean, "cosine": cosine_error}
 
 
-def error_fn(name: str):
-    """UDF-2/3: error function by name; unknown names raise."""
+def error_fn(error):
+    """UDF-2/3: an error by name, or a function of two vector columns; others raise."""
+    if callable(error):
+        return error
     try:
-        return ERRORS[name]
-    except KeyError:
-        raise ValueError(f"unknown error {name!r}; choose one of {sorted(ERRORS)}") from None
+        return ERRORS[error]
+    except (KeyError, TypeError):
+        raise ValueError(f"unknown error {error!r}; choose one of {sorted(ERRORS)} or pass a function of two columns") from None
+
+
+def error_name(error) -> str:
+    return getattr(error, "__name__", str(error)) if callable(error) else error
+
+
+def checked_error(df, error, features: str, centroid: str) -> Column:
+    """``error`` of two columns of ``df``; a function that gives anything but a number raises before a job is run."""
+    out = error_fn(error)(F.col(features), F.col(centroid))
+    if not isinstance(out, Column):
+        raise TypeError(f"{error_name(error)} gives {type(out).__name__}, not a column")
+    kind = df.select(out.alias("_e")).schema["_e"].dataType
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"{error_name(error)} gives {kind.simpleString()}, not a number")
+    return out.cast("double")

@@ -154,6 +154,24 @@ def weekly_wide(ts: DataFrame, label: str = "cluster") -> DataFrame:
     return cal.join(w, "week", "left").fillna(0)
 
 
+def weekly_table(ts: DataFrame, run=("run",), label: str = "cluster") -> DataFrame:
+    """AGG-19 for every run at once: (run, week, scores map<cluster, score>).
+
+    Each run has its own calendar, from its first to its last week, and every
+    week has all clusters of the run, gaps 0, so the schema doesn't depend on
+    the data. Undated points are dropped.
+    """
+    k = list(run)
+    w = weekly(ts.filter(F.col("date").isNotNull()), (*k, label))
+    kind = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(label), "score"))))
+    weeks = w.groupBy(*k, "week").agg(kind.alias("_have"))
+    own = w.groupBy(*k).agg(F.min("week").alias("_lo"), F.max("week").alias("_hi"), F.array_sort(F.collect_set(label)).alias("_all"))
+    calendar = own.select(*k, "_all", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))).alias("week"))
+    have = lambda c: F.coalesce(F.try_element_at("_have", c), F.lit(0).cast(w.schema["score"].dataType))
+    return (calendar.join(weeks, [*k, "week"], "left")
+            .select(*k, "week", F.map_from_arrays("_all", F.transform("_all", have)).alias("scores")))
+
+
 def date_score_lines(ts: DataFrame, keys=("run", "cluster")) -> DataFrame:
     """JOB-10 text form: (keys, date, line) with 'date score' lines; undated points are dropped."""
     d = ts.filter(F.col("date").isNotNull())

@@ -103,15 +103,16 @@ def nearest_words(vectors: DataFrame, centroids: DataFrame, word: str = "word",
 
 def point_errors(points: DataFrame, centroids: DataFrame, cluster: str = "cluster",
                  features: str = "features", centroid: str = "centroid",
-                 error: str = "euclidean") -> DataFrame:
-    """JN-9: points + err, the error of each point against its own centroid."""
-    fn = V.error_fn(error)
-    return points.join(centroids.select(cluster, centroid), cluster).withColumn("err", fn(F.col(features), F.col(centroid))).drop(centroid)
+                 error="euclidean") -> DataFrame:
+    """JN-9: points + err, the error of each point against its own centroid;
+    ``error`` is a name or a function of two vector columns (UDF-2)."""
+    j = points.join(centroids.select(cluster, centroid), cluster)
+    return j.withColumn("err", V.checked_error(j, error, features, centroid)).drop(centroid)
 
 
 def cluster_errors(points: DataFrame, centroids: DataFrame, cluster: str = "cluster",
                    features: str = "features", centroid: str = "centroid",
-                   error: str = "euclidean") -> DataFrame:
+                   error="euclidean") -> DataFrame:
     """AGG-12: (cluster, n, err_sum, err_mean); empty clusters give null, not a crash."""
     pe = point_errors(points, centroids, cluster, features, centroid, error)
     agg = pe.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum("err").alias("err_sum"))
@@ -123,9 +124,10 @@ def total_error(points: DataFrame, centroids: DataFrame, cluster: str = "cluster
                 features: str = "features", centroid: str = "centroid",
                 errors=("euclidean",)) -> DataFrame:
     """AGG-13: one row (n, total_<error> ...) summed over all points in one
-    pass (not KMeans' squared cost)."""
+    pass (not KMeans' squared cost). An error is a name or a function of two
+    vector columns, whose own name the total then has."""
     j = points.join(centroids.select(cluster, centroid), cluster)
-    return j.agg(F.count(F.lit(1)).alias("n"), *(F.sum(V.error_fn(e)(F.col(features), F.col(centroid))).alias(f"total_{e}")
+    return j.agg(F.count(F.lit(1)).alias("n"), *(F.sum(V.checked_error(j, e, features, centroid)).alias(f"total_{V.error_name(e)}")
                                                  for e in errors))
 
 

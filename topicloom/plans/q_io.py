@@ -11,6 +11,7 @@ from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import register
 from topicloom.plans.tables import cleaned_documents, table
+from topicloom.session import materialised, shared_path
 from topicloom.sources import readers as R
 from topicloom.sources import sinks as K
 
@@ -76,18 +77,21 @@ top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) A
 
 
 @register("json_map_counts", sql=WORDS_BY_LANG + """
-SELECT lang, token, CAST(n AS BIGINT) AS n FROM top WHERE r <= 50""")
+SELECT lang, token, CAST(n AS BIGINT) AS n FROM cnt""")
 def q_json_map_counts(spark, sf_dir):
-    """SRC-6: one JSON object of counts per language, parsed by ``parse_json_map``."""
+    """SRC-6 from files: objects of counts per language (16 each), written as
+    files of one object, split at commas and read entry by entry."""
     from topicloom.functions.text import tokens
     from topicloom.plans.tables import cleaned_corpus
-    from pyspark.sql import Window
     t = cleaned_corpus(spark, sf_dir).select("lang", F.explode(tokens(F.col("text"))).alias("token"))
     n = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "token")
-    top = n.withColumn("r", F.row_number().over(w)).filter("r <= 50")
-    js = top.groupBy("lang").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("value"))
-    return js.select("lang", F.explode(R.parse_json_map(F.col("value"), "bigint")).alias("token", "n"))
+    block = F.pmod(F.xxhash64("token"), F.lit(16)).alias("block")
+    objects = n.groupBy("lang", block).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("value"))
+    path = shared_path(spark, "count-files")
+    objects.write.partitionBy("lang", "block").text(path)
+    entries = R.read_json_entries(spark, path)
+    lang = F.regexp_extract("file", "/lang=([^/]*)/", 1)
+    return materialised(entries.select(lang.alias("lang"), F.col("key").alias("token"), F.col("value").alias("n")), "counts")
 
 
 @register("json_map_counts_whole", sql=WORDS_BY_LANG + """

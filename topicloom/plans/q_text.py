@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import tokens
+from topicloom.functions.text import clean_text, tokens
 from topicloom.operators import keywords as kw
 from topicloom.plans import sql as S
 from topicloom.plans.registry import register
-from topicloom.plans.tables import cleaned_documents
+from topicloom.plans.tables import cleaned_documents, table
 
 
 @register("clean_text", sql=f"SELECT CAST(doc_id AS BIGINT) AS doc_id, {S.clean_sql('text')} AS text FROM documents")
@@ -111,3 +111,28 @@ def q_positional_index(spark, sf_dir):
     g = t.groupBy("doc_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("p"))
     return g.select(F.col("doc_id").cast("bigint"), "token",
                     F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("positions"))
+
+
+# Pieces that the cleaning chain is for and the documents don't hold: an address, brackets, a written line end.
+ODD_SQL = "'see http://site.example/a?b=1 now [note ' || doc_id || '] and c:\\\\n path-to/x_y ' || coalesce(text, '')"
+
+
+@register("clean_text_odd", sql=f"SELECT CAST(doc_id AS BIGINT) AS doc_id, {S.clean_sql(ODD_SQL)} AS text FROM documents")
+def q_clean_text_odd(spark, sf_dir):
+    """SCL-4, 5, 8: addresses, written line ends and brackets in front of every document."""
+    odd = F.concat(F.lit("see http://site.example/a?b=1 now [note "), F.col("doc_id").cast("string"),
+                   F.lit("] and c:\\\\n path-to/x_y "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), clean_text(odd).alias("text"))
+
+
+@register("tfidf_probabilistic", sql=f"""WITH docs AS ({S.CLEAN_DOCS}),
+toks AS (SELECT doc_id, unnest(regexp_split_to_array(text || chr(10), '\\s')) AS token FROM docs),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY doc_id, token),
+dfs AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+sc AS (SELECT doc_id, token, tf, CASE WHEN df < n THEN ln((n - df) / df) END AS idf FROM tf JOIN dfs USING (token) CROSS JOIN nn)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, token, round(idf, 6) + 0.0 AS idf, round(tf * idf, 6) + 0.0 AS tfidf FROM sc""")
+def q_tfidf_probabilistic(spark, sf_dir):
+    """SCL-27: the probabilistic idf; null for a token of all documents."""
+    s = kw.tfidf_scores(cleaned_documents(spark, sf_dir), idf="probabilistic")
+    return s.select(F.col("doc_id").cast("bigint"), "token", F.round("idf", 6).alias("idf"), F.round("tfidf", 6).alias("tfidf"))

@@ -8,14 +8,20 @@ from topicloom.operators import timeseries as ts
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import ORACLE, register
-from topicloom.plans.tables import cleaned_documents
+from topicloom.plans.tables import cleaned_documents, table
+from topicloom.session import materialised
 
 QUERY_WORDS = ["the", "of"]
 
 
+def _topics(spark, sf_dir):
+    """The derived runs as a table of their own: the series read them several times."""
+    return materialised(topic_runs(spark, sf_dir), "topics")
+
+
 def doc_dates(spark, sf_dir):
     """Document dates: 2016-01-01 plus doc_id mod 300 days."""
-    d = cleaned_documents(spark, sf_dir)
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.date_add(F.lit("2016-01-01").cast("date"),
                                          (F.col("doc_id") % 300).cast("int")).alias("date"))
 
@@ -45,7 +51,7 @@ tsd AS (SELECT t.run, t.cluster, d.date, sum(t.score) AS score FROM tot t JOIN d
 @register("cluster_timeseries_total", sql=S.ctes(TS_CTE) + """
 SELECT run, CAST(cluster AS BIGINT) AS cluster, CAST(date AS VARCHAR) AS date, CAST(score AS BIGINT) AS score FROM tsd""")
 def q_cluster_timeseries_total(spark, sf_dir):
-    out = ts.cluster_timeseries(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir),
+    out = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
                                 doc_dates(spark, sf_dir), mode="total")
     return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"),
                       F.col("score").cast("bigint"))
@@ -64,7 +70,7 @@ SELECT rs.run, CAST(rs.cluster AS BIGINT) AS cluster, CAST(rs.doc_id AS BIGINT)
        CAST(d.date AS VARCHAR) AS date, CAST(rs.score AS BIGINT) AS score
 FROM rs LEFT JOIN dts d USING (doc_id) WHERE rs.score > 0""")
 def q_cluster_timeseries_running(spark, sf_dir):
-    out = ts.cluster_timeseries(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir),
+    out = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
                                 doc_dates(spark, sf_dir), mode="last_pair_running")
     return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
                       F.col("date").cast("string"), F.col("score").cast("bigint"))
@@ -79,7 +85,7 @@ SELECT t.run, CAST(t.cluster AS BIGINT) AS cluster, CAST(t.date AS VARCHAR) AS d
 FROM tsd t JOIN (SELECT run, cluster FROM topics WHERE {_query_filter_sql(QUERY_WORDS)}) q
   ON q.run = t.run AND q.cluster = t.cluster""")
 def q_timeseries_query(spark, sf_dir):
-    clusters = topic_runs(spark, sf_dir)
+    clusters = _topics(spark, sf_dir)
     t = ts.cluster_timeseries(clusters, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
     out = ts.query_timeseries(t, clusters, QUERY_WORDS)
     return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"),
@@ -91,7 +97,7 @@ SELECT run, CAST(cluster AS BIGINT) AS cluster,
        CAST(CAST(date_trunc('week', date) AS DATE) + 6 AS VARCHAR) AS week, CAST(sum(score) AS BIGINT) AS score
 FROM tsd GROUP BY run, cluster, CAST(date_trunc('week', date) AS DATE) + 6""")
 def q_timeseries_weekly(spark, sf_dir):
-    t = ts.cluster_timeseries(topic_runs(spark, sf_dir), cleaned_documents(spark, sf_dir),
+    t = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
                               doc_dates(spark, sf_dir))
     w = ts.weekly(t)
     return w.select("run", F.col("cluster").cast("bigint"), F.col("week").cast("string"),
@@ -102,7 +108,7 @@ def q_timeseries_weekly(spark, sf_dir):
 GAPS_CTE = S.TOPICS_CTE + """,
 dts AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE DATE '2016-01-01' + CAST(doc_id % 300 AS INTEGER) END AS date
         FROM docs WHERE doc_id % 7 <> 3),
-ct AS (SELECT run, cluster, list_concat(words, words[1:1]) AS words FROM topics WHERE len(words) < 10),
+ct AS (SELECT run, cluster, list_concat(words, words[1:1]) AS words FROM topics),
 tk AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
        FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM docs)),
 vt AS (SELECT * FROM tk WHERE word IN (SELECT unnest(words) FROM ct)),
@@ -114,11 +120,10 @@ ph AS (SELECT x.doc_id, x.word AS a, y.word AS b, count(*) AS hits FROM vt x, ra
 """
 
 
-def _gap_inputs(spark, sf_dir, whole=False):
-    topics = topic_runs(spark, sf_dir).filter(F.lit(True) if whole else F.size("words") < 10)
-    clusters = topics.select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
+def _gap_inputs(spark, sf_dir):
+    clusters = topic_runs(spark, sf_dir).select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
     dates = doc_dates(spark, sf_dir).filter("doc_id % 7 <> 3").withColumn("date", F.expr("CASE WHEN doc_id % 5 <> 0 THEN date END"))
-    return clusters, cleaned_documents(spark, sf_dir), dates
+    return materialised(clusters, "clusters"), cleaned_documents(spark, sf_dir), dates
 
 
 @register("timeseries_repeated_words", sql=S.ctes(GAPS_CTE) + """
@@ -158,44 +163,36 @@ def q_date_score_lines(spark, sf_dir):
     return lines.select("run", F.col("cluster").cast("bigint"), "line")
 
 
-def _whole(sql):
-    """The same over topics of every size."""
-    return sql.replace("FROM topics WHERE len(words) < 10", "FROM topics")
-
-
-@register("timeseries_repeated_words_whole", sql=_whole(ORACLE["timeseries_repeated_words"]))
-def q_timeseries_repeated_words_whole(spark, sf_dir):
-    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
-    out = ts.cluster_timeseries(clusters, docs, dates)
-    return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"), F.col("score").cast("bigint"))
-
-
-@register("timeseries_running_gaps_whole", sql=_whole(ORACLE["timeseries_running_gaps"]))
-def q_timeseries_running_gaps_whole(spark, sf_dir):
-    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
-    out = ts.cluster_timeseries(clusters, docs, dates, mode="last_pair_running")
-    return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
-                      F.col("date").cast("string"), F.col("score").cast("bigint"))
-
-
-@register("date_score_lines_whole", sql=_whole(ORACLE["date_score_lines"]))
-def q_date_score_lines_whole(spark, sf_dir):
-    clusters, docs, dates = _gap_inputs(spark, sf_dir, whole=True)
-    lines = ts.date_score_lines(ts.cluster_timeseries(clusters, docs, dates))
-    return lines.select("run", F.col("cluster").cast("bigint"), "line")
+# Earlier names of the three, from when they stood beside forms over a part of the topics.
+for _name, _fn in (("timeseries_repeated_words", q_timeseries_repeated_words), ("timeseries_running_gaps", q_timeseries_running_gaps),
+                   ("date_score_lines", q_date_score_lines)):
+    register(f"{_name}_whole", sql=ORACLE[_name])(_fn)
 
 
 @register("timeseries_weekly_wide", sql=S.ctes(TS_CTE) + """,
-one AS (SELECT * FROM tsd WHERE run = 'lang_4' AND cluster < 2),
-wk AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS week, cluster, sum(score) AS score FROM one GROUP BY 1, 2),
-cal AS (SELECT unnest(generate_series((SELECT CAST(date_trunc('week', min(date)) AS DATE) + 6 FROM one),
-          (SELECT CAST(date_trunc('week', max(date)) AS DATE) + 6 FROM one), INTERVAL 7 DAY)) AS week)
-SELECT CAST(CAST(cal.week AS DATE) AS VARCHAR) AS week, CAST(coalesce(sum(score) FILTER (cluster = 0), 0) AS BIGINT) AS "0",
-       CAST(coalesce(sum(score) FILTER (cluster = 1), 0) AS BIGINT) AS "1"
-FROM cal LEFT JOIN wk ON wk.week = CAST(cal.week AS DATE) GROUP BY cal.week""")
+wk AS (SELECT run, cluster, CAST(date_trunc('week', date) AS DATE) + 6 AS week, sum(score) AS score FROM tsd GROUP BY 1, 2, 3),
+cal AS (SELECT run, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM wk GROUP BY run),
+cl AS (SELECT DISTINCT run, cluster FROM wk)
+SELECT cal.run, CAST(cal.week AS VARCHAR) AS week,
+       string_agg(cl.cluster || ':' || CAST(coalesce(wk.score, 0) AS BIGINT), ' ' ORDER BY cl.cluster) AS scores
+FROM cal JOIN cl ON cl.run = cal.run LEFT JOIN wk ON wk.run = cal.run AND wk.week = cal.week AND wk.cluster = cl.cluster
+GROUP BY cal.run, cal.week""")
 def q_timeseries_weekly_wide(spark, sf_dir):
-    """One column per cluster (two of one run), every week between the first and the last, gaps 0."""
-    topics = topic_runs(spark, sf_dir)
+    """A row per run and week between the run's first and last, a score per cluster of the run, gaps 0."""
+    topics = _topics(spark, sf_dir)
     t = ts.cluster_timeseries(topics, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
-    w = ts.weekly_wide(t.filter("run = 'lang_4' AND cluster < 2"))
-    return w.select(F.col("week").cast("string"), *(F.col(c).cast("bigint").alias(c) for c in w.columns if c != "week"))
+    told = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return ts.weekly_table(t).select("run", F.col("week").cast("string"), F.array_join(told, " ").alias("scores"))
+
+
+@register("timeseries_max_words", sql=S.ctes(GAPS_CTE).replace(
+    "list_concat(words, words[1:1]) AS words FROM topics", "list_concat(words, words) AS words FROM topics WHERE 2 * len(words) <= 15") + """
+SELECT cp.run, CAST(cp.cluster AS BIGINT) AS cluster, CAST(d.date AS VARCHAR) AS date, CAST(sum(ph.hits) AS BIGINT) AS score
+FROM cp JOIN ph ON ph.a = cp.a AND ph.b = cp.b JOIN dts d ON d.doc_id = ph.doc_id
+WHERE d.date IS NOT NULL GROUP BY cp.run, cp.cluster, d.date""")
+def q_timeseries_max_words(spark, sf_dir):
+    """FLT-7: lists written twice, of which those of more than 15 words have no series."""
+    _, docs, dates = _gap_inputs(spark, sf_dir)
+    twice = _topics(spark, sf_dir).select("run", "cluster", F.concat("words", "words").alias("words"))
+    out = ts.cluster_timeseries(twice, docs, dates)
+    return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"), F.col("score").cast("bigint"))

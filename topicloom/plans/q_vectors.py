@@ -155,3 +155,27 @@ def q_centroid_label_lines(spark, sf_dir):
     """SNK-2: the nearest words of each centroid in the reference's file layout."""
     labels = vec.nearest_words(word_vectors(spark, sf_dir), label_centroids(spark, sf_dir), top=10)
     return sinks.centroid_label_lines(labels).select(F.col("cluster").cast("bigint"), "line")
+
+
+@register("own_error_and_parser", sql=CEN + """,
+d AS (SELECT v.cluster, list_sum(list_transform(list_zip(v.e, c.c), lambda p: abs(p[1] - p[2]))) AS err FROM ev v JOIN cen c USING (cluster)),
+e AS (SELECT cluster, round(sum(err), 4) AS total FROM d GROUP BY cluster)
+SELECT CAST(cluster AS BIGINT) AS cluster, total + 0.0 AS total,
+  (SELECT round(sum(err), 4) FROM d) + 0.0 AS all_clusters FROM e""")
+def q_own_error_and_parser(spark, sf_dir):
+    """UDF-1, UDF-2: city-block errors by a function of two columns, told as 'cluster=total' lines and read by an own parser."""
+    from topicloom.sources import readers
+
+    def city_block(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
+
+    def pair(line):
+        part = F.split(line, "=")
+        return F.struct(part[0].cast("bigint").alias("cluster"), part[1].cast("double").alias("total"))
+
+    points, centroids = word_vectors(spark, sf_dir), label_centroids(spark, sf_dir)
+    errs = vec.cluster_errors(points, centroids, error=city_block)
+    lines = errs.select(F.concat_ws("=", "cluster", F.round("err_sum", 4)).alias("value"))
+    total = vec.total_error(points, centroids, errors=(city_block,)).select(F.round("total_city_block", 4)).scalar()
+    back = readers.parsed(lines, pair, "struct<cluster:bigint,total:double>")
+    return back.select("parsed.*", total.alias("all_clusters"))

@@ -63,16 +63,17 @@ def coherence_json(scores: DataFrame, keys=("run",)) -> DataFrame:
 
 def write_curves(curves: DataFrame, path: str, model_cols=("embed", "variant", "kind")) -> None:
     """SNK-5: one folder per model, rows 'k mean median' sorted by k."""
-    out = curves.select(*model_cols, "k", F.concat_ws(" ", F.col("k").cast("string"), F.col("mean").cast("string"),
-                                                      F.col("median").cast("string")).alias("value"))
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in ("k", "mean", "median")]
+    out = curves.select(*model_cols, "k", F.concat_ws(" ", *told).alias("value"))
     # dealt by range: a large model is several part files, in order
     (out.repartitionByRange(*model_cols, "k").sortWithinPartitions(*model_cols, "k").drop("k")
      .write.mode("overwrite").partitionBy(*model_cols).text(path))
 
 
 def write_per_speaker(speaker_text: DataFrame, path: str) -> None:
-    """SNK-7: one folder per speaker."""
-    speaker_text.select("speaker", "text").write.mode("overwrite").partitionBy("speaker").text(path)
+    """SNK-7: one folder per speaker. A speaker's texts go to one task, so there is a file
+    per speaker and not one per task and speaker."""
+    speaker_text.select("speaker", "text").repartition("speaker").write.mode("overwrite").partitionBy("speaker").text(path)
 
 
 def timeseries_nested(ts: DataFrame, clusters: DataFrame, keys=("run", "cluster")) -> DataFrame:
@@ -90,8 +91,18 @@ def vector_text(vectors: DataFrame) -> DataFrame:
 
 
 def write_ranked_series(series: DataFrame, path: str) -> None:
-    """SNK-10: 'x score nwords' lines, one folder per model, in rank order."""
-    out = series.select("model", "x", F.concat_ws(" ", F.col("x").cast("string"), F.col("score").cast("string"),
-                                                  F.col("nwords").cast("string")).alias("value"))
+    """SNK-10: 'x score nwords run' lines, one folder per model, in rank order (without run names, 'x score nwords')."""
+    parts = ["x", "score", "nwords", *(["run"] if "run" in series.columns else [])]
+    out = series.select("model", "x", F.concat_ws(" ", *(F.col(c).cast("string") for c in parts)).alias("value"))
     (out.repartitionByRange("model", "x").sortWithinPartitions("model", "x").drop("x")
      .write.mode("overwrite").partitionBy("model").text(path))
+
+
+def write_series_json(series: DataFrame, path: str, files: int = 64) -> None:
+    """SNK-8 in the reference's layout: files of a log line and a line with the JSON
+    array of (words, scores). The clusters are dealt over ``files`` files by their
+    words, so an array stays small; Parquet is the format for anything large."""
+    each = series.select(F.pmod(F.xxhash64("words"), F.lit(files)).alias("part"),
+                         F.to_json(F.struct(F.col("words").alias("cluster"), "scores")).alias("_json"))
+    arrays = each.groupBy("part").agg(F.concat(F.lit("clusters\n["), F.array_join(F.collect_list("_json"), ", "), F.lit("]")).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("part").text(path)
