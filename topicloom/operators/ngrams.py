@@ -25,10 +25,17 @@ from topicloom.functions.text import tokens
 WINDOW_SIZE = 10
 
 
+def items(array: str) -> Column:
+    """An array column to explode. Of a bare column the optimizer infers a filter on its
+    size and pushes it down, where the array is then made a second time."""
+    return F.coalesce(F.col(array), F.array())
+
+
 def _words(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    # FLT-3: blank documents are skipped; SCL-14 tokeniser.
+    # SCL-14 tokeniser. Blank documents (FLT-3) have no positions and weigh nothing: a filter on
+    # the tokens would only make them a second time, below the scan's exchange.
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
-    return d.withColumn("n", F.size("w")).filter(F.col("n") > 0)
+    return d.withColumn("n", F.size("w"))
 
 
 def token_weight(i: Column, n: Column, L: int) -> Column:
@@ -57,7 +64,7 @@ def pair_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     """
     L = int(window)
     d = _words(docs, text, doc_id)
-    tk = d.select("doc_id", "n", "w", F.posexplode("w").alias("i", "a"))
+    tk = d.select("doc_id", "n", "w", F.posexplode(items("w")).alias("i", "a"))
     nxt = F.array(*[F.struct(F.lit(k).alias("d"), F.get("w", F.col("i") + k).alias("b")) for k in range(1, L)])
     pairs = (tk.select("doc_id", "n", "i", "a", F.inline(nxt))
              .filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -79,7 +86,7 @@ def pair_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text", d
     position and one sum over all; no pair becomes a row."""
     L = int(window)
     d = _words(docs, text, doc_id)
-    tk = d.select("n", "w", F.posexplode("w").alias("i", "a"))
+    tk = d.select("n", "w", F.posexplode(items("w")).alias("i", "a"))
     own = F.lit(0)
     for k in range(1, L):
         weight = pair_weight(F.col("i"), F.col("i") + k, F.col("n"), L)
@@ -98,7 +105,7 @@ def window_list(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     """WIN-3 made explicit: (doc_id, start, words) for every window of every document."""
     L = int(window)
     d = _words(docs, text, doc_id)
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - L, F.lit(0)))
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - L, F.lit(0))))
     return d.select("doc_id", F.explode(F.transform(
         starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, L).alias("words")))).alias("x")) \
         .select("doc_id", F.col("x.start").alias("start"), F.col("x.words").alias("words"))
@@ -109,7 +116,7 @@ def unigram_rows(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
     """(token, wt): one row per token position with its window weight."""
     L = int(window)
     d = _words(docs, text, doc_id)
-    rows = d.select("n", F.posexplode("w").alias("i", "token"))
+    rows = d.select("n", F.posexplode(items("w")).alias("i", "token"))
     return rows.select("token", token_weight(F.col("i"), F.col("n"), L).alias("wt"))
 
 

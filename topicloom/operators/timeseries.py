@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
+from topicloom.operators.ngrams import items
 from topicloom.operators.scans import running_sum
 
 MAX_WORDS = 15
@@ -64,7 +65,7 @@ def near_hits(toks: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     D = int(distance)
     rows = toks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("t"))
-    each = rows.select("doc_id", "t", F.posexplode("t").alias("p", "x"))
+    each = rows.select("doc_id", "t", F.posexplode(items("t")).alias("p", "x"))
     nxt = F.array(*[F.get("t", F.col("p") + k) for k in range(0, D + 1)])
     near = (each.select("doc_id", "x", F.explode(nxt).alias("y"))
             .filter(F.col("y").isNotNull() & (F.col("y.pos") <= F.col("x.pos") + D)))
