@@ -143,3 +143,32 @@ def test_terms_far_from_the_value_and_without_it(spark, tables):
              for r in QUERIES["op8_disclosure_sanitiser"](spark, where).collect()}
     assert all(found[k][:2] == ["Zorblatt", "Wu"] and {"(Zorblatt)", "Wu"} <= set(found[k][2:]) for k in range(5))
     assert found[9] == ["zorblatt"] and not any(found[k] for k in range(10, 300))
+
+
+def test_rare_words_beside_a_value_by_chance(spark):
+    """Invented words of one document each surround values of one document each: only what is written as a name tells."""
+    rng = random.Random(8)
+    new = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    texts = [" ".join(new() for _ in range(40)) for _ in range(400)]
+    for k in range(0, 400, 4):
+        w = texts[k].split()
+        w[20:20] = [f"p{k}@host{k}.example"]
+        w[12] = w[12].title() if k % 8 else w[12] + ". " + new().title()  # a name, or a sentence's first word
+        texts[k] = " ".join(w)
+    df = spark.createDataFrame([(k, t, "k", 1, "c", 1) for k, t in enumerate(texts)], SCHEMA)
+    for r in pii.spans(df).collect():
+        found = [texts[r.doc_id][s.start:s.end] for s in r.terms or ()]
+        assert found == ([texts[r.doc_id].split()[12]] if r.doc_id % 4 == 0 and r.doc_id % 8 else [])
+    # the same words in three texts are evidence, and in three copies of one text are not
+    pair = "called Smallname abcword near v@one.example".lower()
+    three = [f"{new()} {pair} {new()}" for _ in range(3)] + [f"{new()} xyzword near w@two.example"] * 3
+    df = spark.createDataFrame([(k, t, "k", 1, "c", 1) for k, t in enumerate(three + texts[1::4])], SCHEMA)
+    told = {r.doc_id: {three[r.doc_id][s.start:s.end] for s in r.terms or ()} for r in pii.spans(df).collect() if r.doc_id < 6}
+    assert all({"smallname", "abcword"} <= told[k] for k in range(3)) and not any(told[k] for k in range(3, 6))
+
+
+def test_names():
+    text = "Ask Quimby or (Zorblatt), said Mrs. Hale.\nNext THE end a@b.co Old."
+    spans = pii.base_spans(text)
+    starts = pii.names_at(text, spans)
+    assert {text[a:].split()[0] for a in starts} == {"Quimby", "(Zorblatt),", "Mrs.", "Old."}

@@ -107,3 +107,25 @@ def test_registered():
     names = E.queries()
     assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d", n)}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, tables):
+    rows, items = corpus()
+    rows = [(None if d % 9 == 8 else d, t) for d, t in rows] + rows[:3] * 2 + [(None, None), (3, None), (5000, "x" * 300_000)]
+    extra = "row string, id int, maybe boolean, key string, terms string, clean string, quality int, kept boolean, gone int, _id int, _stays int"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "r", k, None, "k", "t", "c", 1, True, 2, 3, 4) for k, (d, t) in enumerate(rows)],
+                                 SCHEMA + ", " + extra)
+    where = tables(documents=docs, benchmark=spark.createDataFrame([(0, items[0]), (1, None), (None, "")], "item_id bigint, text string"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, where)
+        assert now.columns == docs.columns, name
+    left = now.collect()
+    assert left and all((r.row, r.key, r.terms, r.clean, r.quality, r.gone, r._id) == ("r", "k", "t", "c", 1, 2, 3) for r in left)
+    numbers = [r.doc_id for r in left if r.doc_id is not None]
+    assert len(numbers) == len(set(numbers)) and any(r.doc_id is None for r in left)
+    # what the stages keep is what they were given, but for spans
+    given = {k: t for k, (_, t) in enumerate(rows)}
+    assert all(r.text == given[r.id] or "[" in r.text for r in left)
+    packed = corpus_pipeline.run(spark, where)
+    assert packed.select("doc_id").exceptAll(now.select("doc_id")).count() >= 0 and packed.count() >= len(left)
