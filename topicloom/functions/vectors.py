@@ -44,13 +44,18 @@ def cosine_error(a: Column, b: Column) -> Column:
     return F.lit(1.0) - cosine_similarity(a, b)
 
 
+def abs_cosine_similarity(a: Column, b: Column) -> Column:
+    """SCL-30 as the reference has it: |cos|, which is larger the closer two vectors are."""
+    return F.abs(cosine_similarity(a, b))
+
+
 def l2_normalize(a: Column) -> Column:
     """SCL-32: a / |a|; null for a zero vector (filter those first)."""
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
 
 
-ERRORS = {"euclidean": euclidean, "cosine": cosine_error}
+ERRORS = {"euclidean": euclidean, "cosine": cosine_error, "abs_cosine": abs_cosine_similarity}
 
 
 def error_fn(error):

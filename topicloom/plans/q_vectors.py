@@ -179,3 +179,12 @@ def q_own_error_and_parser(spark, sf_dir):
     total = vec.total_error(points, centroids, errors=(city_block,)).select(F.round("total_city_block", 4)).scalar()
     back = readers.parsed(lines, pair, "struct<cluster:bigint,total:double>")
     return back.select("parsed.*", total.alias("all_clusters"))
+
+
+@register("cluster_abs_cosine", sql=CEN + """
+SELECT CAST(v.cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n, round(sum(abs(list_cosine_similarity(v.e, c.c))), 6) + 0.0 AS err_sum
+FROM ev v JOIN cen c USING (cluster) GROUP BY v.cluster""")
+def q_cluster_abs_cosine(spark, sf_dir):
+    """SCL-30: the absolute cosine similarity summed per cluster."""
+    e = vec.cluster_errors(word_vectors(spark, sf_dir), label_centroids(spark, sf_dir), error="abs_cosine")
+    return e.select(F.col("cluster").cast("bigint"), F.col("n").cast("bigint"), F.round("err_sum", 6).alias("err_sum"))
