@@ -153,4 +153,4 @@ SELECT CAST(row_number() OVER (ORDER BY score, label) AS BIGINT) AS rank, score
 def q_rank_combined_lines(spark, sf_dir):
     """SCL-36: the 'score (words) [runs]' lines themselves."""
     topics, scores = scored(spark, sf_dir)
-    return R.rank_combined(scores, topics).select(F.col("rank").cast("bigint"), "line")
+    return materialised(R.rank_combined(scores, topics).select(F.col("rank").cast("bigint"), "line"), "lines")
