@@ -33,11 +33,8 @@ def topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cleaned_with_meta(spark, sf_dir)
     toks = d.select("lang", "source", F.explode(tokens(F.col("text"))).alias("token"))
     counts = toks.groupBy("lang", "source", "token").agg(F.count(F.lit(1)).alias("c"))
-    per_model = None
-    for m in TOPIC_MODELS:
-        part = (counts.groupBy(F.col(m).alias("grp"), "token").agg(F.sum("c").alias("c"))
-                .withColumn("model", F.lit(m)))
-        per_model = part if per_model is None else per_model.unionByName(part)
+    groups = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("grp")) for m in TOPIC_MODELS))
+    per_model = (counts.select(F.inline(groups), "token", "c").groupBy("model", "grp", "token").agg(F.sum("c").alias("c")))
     kmax = max(TOPIC_KS)
     w = Window.partitionBy("model", "grp").orderBy(F.col("c").desc(), F.col("token"))
     top = per_model.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= kmax)
