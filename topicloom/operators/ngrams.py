@@ -94,6 +94,19 @@ def pair_total(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text", d
     return tk.select(own.cast("long").alias("wt")).select(F.sum("wt").cast("double")).scalar()
 
 
+def totals(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]:
+    """AGG-7: the weights of all tokens and of all pairs of unequal words, both from one pass over the texts."""
+    L = int(window)
+    tk = _words(docs, text, doc_id).select("n", "w", F.posexplode(items("w")).alias("i", "a"))
+    own = F.lit(0)
+    for k in range(1, L):
+        weight = pair_weight(F.col("i"), F.col("i") + k, F.col("n"), L)
+        own = own + F.when(F.get("w", F.col("i") + k) != F.col("a"), weight).otherwise(0)
+    each = tk.select(token_weight(F.col("i"), F.col("n"), L).cast("long").alias("u"), own.cast("long").alias("p"))
+    both = each.select(F.struct(F.sum("u").cast("double").alias("u"), F.sum("p").cast("double").alias("p"))).scalar()
+    return both["u"], both["p"]
+
+
 def window_ngrams(docs: DataFrame, window: int = WINDOW_SIZE, text: str = "text",
                   doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """JOB-5: (unigram table, bigram table)."""
