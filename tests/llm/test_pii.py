@@ -172,3 +172,17 @@ def test_names():
     spans = pii.base_spans(text)
     starts = pii.names_at(text, spans)
     assert {text[a:].split()[0] for a in starts} == {"Quimby", "(Zorblatt),", "Mrs.", "Old."}
+
+
+def test_counts_by_kind(spark, tables):
+    """A count is of the spans of one kind, whatever their places in the row's list."""
+    from topicloom.llm.queries import QUERIES
+
+    card, phone = "4111 1111 1111 1111", "+1 (555) 010-9999"
+    texts = ["", None, f"{card} a", f"a@b.c {card} d@e.f 1.2.3.4 {phone} g@h.i", f"{phone} x {phone}", "1.2.3.4 5.6.7.8 9.9.9.9"]
+    where = tables(documents=spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    for r in QUERIES["op8_disclosure_sanitiser"](spark, where).collect():
+        plain = plain_spans(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in plain) for k in range(4)]
+        told = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in plain)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
