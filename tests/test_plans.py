@@ -48,3 +48,10 @@ def test_filter_and_projection_reach_the_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in p
+
+
+def test_tfidf_reads_a_stored_table_of_terms(spark):
+    """Counts per token and scores read one table: no branch cleans or tokenises the texts again."""
+    for name in ("tfidf_scores", "tfidf_keywords", "tfidf_variants"):
+        p = _plan(E.QUERIES[name](spark, SF))
+        assert "split(" not in p and "regexp_replace(" not in p, name
