@@ -79,3 +79,13 @@ def test_damage_is_reported(spark):
         f.write(b"".join(p + warc.END for p in parts))
     got = {r.page_id: r.status for r in warc.read_pages(spark, folder).collect()}
     assert got == {0: "incomplete", 1: "incomplete", 2: "digest", 3: "framing", 4: "ok", 9: "missing"}
+
+
+def test_archives_are_parsed_once_and_blocks_dealt_once(spark):
+    rows = [(k, f"u{k}", "<p>%d " % k * 900) for k in range(6)] + [(9, "v", "<p>0 " * 900)]
+    pages = warc.round_trip(make(spark, rows), segment_bytes=700, chunk_bytes=333)
+    assert {r.page_id: (r.record_type, r.status) for r in pages.collect()} == {k: ("revisit" if k == 0 else "response", "ok") for k in (*range(6), 9)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan binaryFile" not in plan(pages)
+    records = spark.createDataFrame([], warc.SCHEMA)
+    assert plan(warc.reassembled(records)).count("Exchange ") == 1

@@ -178,7 +178,8 @@ def reassembled(found: DataFrame) -> DataFrame:
     one = responses.filter("segment IS NULL").select(
         "record_id", "page_id", "url", "digest", F.lit(1).alias("segments"), "block", F.col("whole").alias("complete"))
     # equal segments of repeated records are counted, others of one number can't both be right
-    segment = (responses.filter("segment IS NOT NULL").groupBy("origin_id", "segment")
+    # dealt by origin once, for both groupings: blocks are shuffled one time
+    segment = (responses.filter("segment IS NOT NULL").repartition("origin_id").groupBy("origin_id", "segment")
                .agg(F.first("block").alias("block"), F.count_distinct(F.md5("block")).alias("kinds"), F.min("whole").alias("whole"),
                     F.count("*").alias("copies"), F.max("total_length").alias("total_length"),
                     F.max(F.struct("page_id", "url", "digest")).alias("head")))
@@ -228,7 +229,8 @@ def payloads(responses: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A row per stored page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, segments, status."""
-    found = read_records(spark, path)
+    # parsed once: responses, segments and revisits read the records from a table, without Python beside their shuffles
+    found = written(read_records(spark, path), "records")
     response = payloads(reassembled(found)).select(
         "record_id", "page_id", "url", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"), F.lit("response").alias("record_type"),
