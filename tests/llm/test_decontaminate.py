@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from topicloom.llm import decontaminate as dc
 
@@ -85,3 +87,27 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], ITEMS)
     assert [r.contaminated for r in dc.marked(docs, bench).collect()] == [False]
     assert dc.marked(docs.limit(0), bench).collect() == []
+
+
+def test_seeds_are_made_in_small_parts():
+    """Seeds of a batch are held for a part of its texts at a time, as numbers, not as Python objects."""
+    pick = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(400)]
+    texts = [" ".join(pick.choices(vocabulary, k=300)) for _ in range(1000)] + ["", None, "one two"]
+    batch, cells = pa.array(texts), np.zeros(1 << 20, np.uint64)
+    tracemalloc.start()
+    assert dc.seeds_of_documents(batch, cells, 26).null_count == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 << 20
+
+    cells[:] = np.iinfo(np.uint64).max  # all seeds pass
+    some = batch.slice(990)
+    found = dc.seeds_of_documents(some, cells, 26).to_pylist()
+    items = dc.seeds_of_items(some).to_pylist()
+    assert len(found) == len(items) == len(some)
+    for text, doc, item in zip(some.to_pylist(), found, items):
+        h = dc.plain_words(pa.array([text])).hashes()
+        want = [{"seed": int(v), "at": p} for s in dc.seeds(h) for p, v in enumerate(s.view(np.int64))]
+        assert item == {"n": len(h), "words": h.tobytes(), "seeds": want}
+        assert doc == ({"words": h.tobytes(), "seeds": want} if want else None)

@@ -24,6 +24,8 @@ left alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +39,8 @@ from topicloom.llm.common import Tables, Words, mix, slices, text_of, written
 MASKS = ("111111", "1111011", "1110111", "11011011", "1101011001")
 WEIGHT = 6
 FILTER_BITS = 26
+#: Bytes of text whose seeds a task holds at a time; they take many times as much.
+SEED_BYTES = 1 << 19
 
 _FACTORS = mix(np.arange(1, WEIGHT + 1, dtype=np.uint64)) | np.uint64(1)
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -51,18 +55,16 @@ def plain_words(texts: pa.Array) -> Words:
     return Words(pa.StringArray.from_buffers(len(lower), offsets, pa.py_buffer(plain)))
 
 
-def seeds(h: np.ndarray) -> list[np.ndarray]:
-    """Per mask, the seed at every position of the word hashes ``h`` where it fits."""
+def seeds(h: np.ndarray) -> Iterator[np.ndarray]:
+    """Per mask in turn, the seed at every position of the word hashes ``h`` where it fits."""
     parts = [h * f for f in _FACTORS]
-    out = []
     for m, mask in enumerate(MASKS):
         n = len(h) - len(mask) + 1
         total = np.full(max(n, 0), m, np.uint64)
         if n > 0:
             for part, at in zip(parts, [k for k, c in enumerate(mask) if c == "1"]):
                 total += part[at:at + n]
-        out.append(mix(total))
-    return out
+        yield mix(total)
 
 
 def _places(seed: np.ndarray, bits: int):
@@ -70,22 +72,34 @@ def _places(seed: np.ndarray, bits: int):
     return seed & room, (seed >> np.uint64(32)) & room
 
 
+def _lists(counts, seed: list[np.ndarray], at: list[np.ndarray]) -> pa.Array:
+    """array<struct<seed,at>> of so many entries each, without a Python object per seed."""
+    none = [np.zeros(0, np.int64)]
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(seed or none).view(np.int64), pa.int64()),
+                                        pa.array(np.concatenate(at or none).astype(np.int32), pa.int32())], ["seed", "at"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32()), pairs)
+
+
+def seeds_of_items(texts: pa.Array) -> pa.Array:
+    """Per text: its number of words, their hashes and its seeds."""
+    n, words, counts, seed, at = [], [], [], [], []
+    for _, part in slices(texts, SEED_BYTES):
+        w = plain_words(part)
+        h = w.hashes()
+        for a, b in zip(w.bounds[:-1], w.bounds[1:]):
+            own = list(seeds(h[a:b]))
+            n.append(int(b - a))
+            words.append(h[a:b].tobytes())
+            counts.append(sum(map(len, own)))
+            seed += own
+            at += [np.arange(len(s)) for s in own]
+    return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(words, pa.binary()), _lists(counts, seed, at)],
+                                      ["n", "words", "seeds"])
+
+
 def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, n, words, seeds) per distinct text of the benchmark."""
-    @arrow_udf("struct<n:int,words:binary,seeds:array<struct<seed:bigint,at:int>>>")
-    def make(texts: pa.Array) -> pa.Array:
-        n, words, found = [], [], []
-        for _, part in slices(texts):
-            w = plain_words(part)
-            h = w.hashes()
-            for a, b in zip(w.bounds[:-1], w.bounds[1:]):
-                n.append(int(b - a))
-                words.append(h[a:b].tobytes())
-                found.append([{"seed": int(v), "at": p} for s in seeds(h[a:b]) for p, v in enumerate(s.view(np.int64))])
-        return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int32()), pa.array(words, pa.binary()),
-             pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["n", "words", "seeds"])
-
+    make = arrow_udf("struct<n:int,words:binary,seeds:array<struct<seed:bigint,at:int>>>")(seeds_of_items)
     one = items.select(F.col(id_col).alias("item"), text_of(text_col).alias("text")).groupBy("text").agg(
         F.min("item").alias("item"))
     return one.select("item", F.md5(F.encode("text", "UTF-8")).alias("item_key"), make("text").alias("s")).select("item", "item_key", "s.*")
@@ -105,38 +119,41 @@ def seed_filter(item_table: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def seeds_of_documents(texts: pa.Array, cells: np.ndarray, bits: int) -> pa.Array:
+    """Per text: its word hashes and the seeds that pass the filter; null where none does."""
+    six = np.uint64(6)
+    low = np.uint64(63)
+    words, empty, counts, seeds_of, places_of = [], [], [], [], []
+    for _, part in slices(texts, SEED_BYTES):
+        w = plain_words(part)
+        h, owner = w.hashes(), w.owners()
+        hit_text, hit_at, hit_seed = [], [], []
+        for mask, seed in zip(MASKS, seeds(h)):
+            one, two = _places(seed, bits)
+            good = np.flatnonzero((cells[one >> six] >> (one & low)) & np.uint64(1))
+            good = good[((cells[two[good] >> six] >> (two[good] & low)) & np.uint64(1)) > 0]
+            good = good[owner[good] == owner[good + len(mask) - 1]]
+            hit_text.append(owner[good])
+            hit_at.append(good - w.bounds[owner[good]])
+            hit_seed.append(seed[good].view(np.int64))
+        text = np.concatenate(hit_text)
+        order = np.argsort(text, kind="stable")
+        seeds_of.append(np.concatenate(hit_seed)[order])
+        places_of.append(np.concatenate(hit_at)[order])
+        ends = np.searchsorted(text[order], np.arange(len(part) + 1))
+        counts += np.diff(ends).tolist()
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            empty.append(a == b)
+            words.append(None if a == b else h[w.bounds[i]:w.bounds[i + 1]].tobytes())
+    return pa.StructArray.from_arrays([pa.array(words, pa.binary()), _lists(counts, seeds_of, places_of)], ["words", "seeds"],
+                                      mask=pa.array(empty, pa.bool_()))
+
+
 def document_seeds(shared, bits: int):
     """text -> its word hashes and the seeds that pass the filter; null where none does."""
     @arrow_udf("struct<words:binary,seeds:array<struct<seed:bigint,at:int>>>")
     def make(texts: pa.Array) -> pa.Array:
-        cells = shared.value
-        six = np.uint64(6)
-        low = np.uint64(63)
-        words, found, empty = [], [], []
-        for _, part in slices(texts):
-            w = plain_words(part)
-            h, owner = w.hashes(), w.owners()
-            hit_text, hit_at, hit_seed = [], [], []
-            for mask, seed in zip(MASKS, seeds(h)):
-                one, two = _places(seed, bits)
-                good = np.flatnonzero((cells[one >> six] >> (one & low)) & np.uint64(1))
-                good = good[((cells[two[good] >> six] >> (two[good] & low)) & np.uint64(1)) > 0]
-                good = good[owner[good] == owner[good + len(mask) - 1]]
-                hit_text.append(owner[good])
-                hit_at.append(good - w.bounds[owner[good]])
-                hit_seed.append(seed[good].view(np.int64))
-            text = np.concatenate(hit_text)
-            order = np.argsort(text, kind="stable")
-            text, at, seed = text[order], np.concatenate(hit_at)[order], np.concatenate(hit_seed)[order]
-            ends = np.searchsorted(text, np.arange(len(part) + 1))
-            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                empty.append(a == b)
-                words.append(None if a == b else h[w.bounds[i]:w.bounds[i + 1]].tobytes())
-                found.append(None if a == b else [{"seed": s, "at": p} for s, p in zip(seed[a:b].tolist(), at[a:b].tolist())])
-        return pa.StructArray.from_arrays(
-            [pa.array(words, pa.binary()),
-             pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["words", "seeds"],
-            mask=pa.array(empty, pa.bool_()))
+        return seeds_of_documents(texts, shared.value, bits)
     return make
 
 
