@@ -55,3 +55,14 @@ def test_tfidf_reads_a_stored_table_of_terms(spark):
     for name in ("tfidf_scores", "tfidf_keywords", "tfidf_variants"):
         p = _plan(E.QUERIES[name](spark, SF))
         assert "split(" not in p and "regexp_replace(" not in p, name
+
+
+@pytest.mark.parametrize("name", ["cluster_timeseries_total", "cluster_timeseries_running", "timeseries_running_gaps",
+                                  "timeseries_max_words", "rank_combined", "document_topics"])
+def test_the_corpus_is_cleaned_once(spark, name, monkeypatch):
+    """Runs, scores, series and topics of documents read one table of cleaned texts."""
+    from topicloom.plans import tables
+    made, clean = [], tables.clean_text
+    monkeypatch.setattr(tables, "clean_text", lambda c: made.append(c) or clean(c))
+    p = _plan(E.QUERIES[name](spark, SF))
+    assert len(made) == 1 and "regexp_replace(" not in p

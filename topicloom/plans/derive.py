@@ -23,14 +23,15 @@ def cleaned_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_corpus(spark, sf_dir)
 
 
-def topic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_runs(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
     """(run, model, k, cluster, words): the top-k words of each lang / source.
+    ``corpus``: the cleaned corpus, if the caller has it as a table.
 
     One "run" per (model, k); a cluster is one lang or source value, its
     words the k most frequent cleaned tokens (ties by token). These stand
     in for the clustering runs of a sweep over K.
     """
-    d = cleaned_with_meta(spark, sf_dir)
+    d = cleaned_with_meta(spark, sf_dir) if corpus is None else corpus
     toks = d.select("lang", "source", F.explode(tokens(F.col("text"))).alias("token"))
     counts = toks.groupBy("lang", "source", "token").agg(F.count(F.lit(1)).alias("c"))
     groups = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("grp")) for m in TOPIC_MODELS))

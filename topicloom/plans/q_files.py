@@ -98,8 +98,8 @@ SELECT array_to_string(c.words, ' ') AS words, CAST(t.date AS VARCHAR) AS date,
 FROM tsd t JOIN topics c ON c.run = t.run AND c.cluster = t.cluster WHERE {_query_filter_sql(QUERY_WORDS)}""")
 def q_series_files(spark, sf_dir):
     """Series in the reference's JSON layout (SNK-8), read back element by element (SRC-11) and asked for words."""
-    clusters = _topics(spark, sf_dir)
-    t = ts.cluster_timeseries(clusters, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
+    clusters, docs = _topics(spark, sf_dir)
+    t = ts.cluster_timeseries(clusters, docs, doc_dates(spark, sf_dir))
     path = shared_path(spark, "series")
     sinks.write_series_json(sinks.timeseries_nested(t.withColumn("date", F.col("date").cast("string")), clusters), path)
     back = readers.read_series_json(spark, path)

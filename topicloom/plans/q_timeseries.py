@@ -8,15 +8,16 @@ from topicloom.operators import timeseries as ts
 from topicloom.plans import sql as S
 from topicloom.plans.derive import topic_runs
 from topicloom.plans.registry import ORACLE, register
-from topicloom.plans.tables import cleaned_documents, table
+from topicloom.plans.tables import stored_corpus, table
 from topicloom.session import materialised
 
 QUERY_WORDS = ["the", "of"]
 
 
 def _topics(spark, sf_dir):
-    """The derived runs as a table of their own: the series read them several times."""
-    return materialised(topic_runs(spark, sf_dir), "topics")
+    """(the derived runs, the cleaned documents), each a table of its own: the series read them several times."""
+    corpus = stored_corpus(spark, sf_dir)
+    return materialised(topic_runs(spark, sf_dir, corpus), "topics"), corpus.select("doc_id", "text")
 
 
 def doc_dates(spark, sf_dir):
@@ -51,8 +52,8 @@ tsd AS (SELECT t.run, t.cluster, d.date, sum(t.score) AS score FROM tot t JOIN d
 @register("cluster_timeseries_total", sql=S.ctes(TS_CTE) + """
 SELECT run, CAST(cluster AS BIGINT) AS cluster, CAST(date AS VARCHAR) AS date, CAST(score AS BIGINT) AS score FROM tsd""")
 def q_cluster_timeseries_total(spark, sf_dir):
-    out = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
-                                doc_dates(spark, sf_dir), mode="total")
+    clusters, docs = _topics(spark, sf_dir)
+    out = ts.cluster_timeseries(clusters, docs, doc_dates(spark, sf_dir), mode="total")
     return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"),
                       F.col("score").cast("bigint"))
 
@@ -70,8 +71,8 @@ SELECT rs.run, CAST(rs.cluster AS BIGINT) AS cluster, CAST(rs.doc_id AS BIGINT)
        CAST(d.date AS VARCHAR) AS date, CAST(rs.score AS BIGINT) AS score
 FROM rs LEFT JOIN dts d USING (doc_id) WHERE rs.score > 0""")
 def q_cluster_timeseries_running(spark, sf_dir):
-    out = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
-                                doc_dates(spark, sf_dir), mode="last_pair_running")
+    clusters, docs = _topics(spark, sf_dir)
+    out = ts.cluster_timeseries(clusters, docs, doc_dates(spark, sf_dir), mode="last_pair_running")
     return out.select("run", F.col("cluster").cast("bigint"), F.col("doc_id").cast("bigint"),
                       F.col("date").cast("string"), F.col("score").cast("bigint"))
 
@@ -85,8 +86,8 @@ SELECT t.run, CAST(t.cluster AS BIGINT) AS cluster, CAST(t.date AS VARCHAR) AS d
 FROM tsd t JOIN (SELECT run, cluster FROM topics WHERE {_query_filter_sql(QUERY_WORDS)}) q
   ON q.run = t.run AND q.cluster = t.cluster""")
 def q_timeseries_query(spark, sf_dir):
-    clusters = _topics(spark, sf_dir)
-    t = ts.cluster_timeseries(clusters, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
+    clusters, docs = _topics(spark, sf_dir)
+    t = ts.cluster_timeseries(clusters, docs, doc_dates(spark, sf_dir))
     out = ts.query_timeseries(t, clusters, QUERY_WORDS)
     return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"),
                       F.col("score").cast("bigint"))
@@ -97,8 +98,8 @@ SELECT run, CAST(cluster AS BIGINT) AS cluster,
        CAST(CAST(date_trunc('week', date) AS DATE) + 6 AS VARCHAR) AS week, CAST(sum(score) AS BIGINT) AS score
 FROM tsd GROUP BY run, cluster, CAST(date_trunc('week', date) AS DATE) + 6""")
 def q_timeseries_weekly(spark, sf_dir):
-    t = ts.cluster_timeseries(_topics(spark, sf_dir), cleaned_documents(spark, sf_dir),
-                              doc_dates(spark, sf_dir))
+    clusters, docs = _topics(spark, sf_dir)
+    t = ts.cluster_timeseries(clusters, docs, doc_dates(spark, sf_dir))
     w = ts.weekly(t)
     return w.select("run", F.col("cluster").cast("bigint"), F.col("week").cast("string"),
                     F.col("score").cast("bigint"))
@@ -120,10 +121,14 @@ ph AS (SELECT x.doc_id, x.word AS a, y.word AS b, count(*) AS hits FROM vt x, ra
 """
 
 
+def _gap_dates(spark, sf_dir):
+    return doc_dates(spark, sf_dir).filter("doc_id % 7 <> 3").withColumn("date", F.expr("CASE WHEN doc_id % 5 <> 0 THEN date END"))
+
+
 def _gap_inputs(spark, sf_dir):
-    clusters = topic_runs(spark, sf_dir).select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
-    dates = doc_dates(spark, sf_dir).filter("doc_id % 7 <> 3").withColumn("date", F.expr("CASE WHEN doc_id % 5 <> 0 THEN date END"))
-    return materialised(clusters, "clusters"), cleaned_documents(spark, sf_dir), dates
+    topics, docs = _topics(spark, sf_dir)
+    clusters = topics.select("run", "cluster", F.concat("words", F.slice("words", 1, 1)).alias("words"))
+    return clusters, docs, _gap_dates(spark, sf_dir)
 
 
 @register("timeseries_repeated_words", sql=S.ctes(GAPS_CTE) + """
@@ -179,8 +184,8 @@ FROM cal JOIN cl ON cl.run = cal.run LEFT JOIN wk ON wk.run = cal.run AND wk.wee
 GROUP BY cal.run, cal.week""")
 def q_timeseries_weekly_wide(spark, sf_dir):
     """A row per run and week between the run's first and last, a score per cluster of the run, gaps 0."""
-    topics = _topics(spark, sf_dir)
-    t = ts.cluster_timeseries(topics, cleaned_documents(spark, sf_dir), doc_dates(spark, sf_dir))
+    topics, docs = _topics(spark, sf_dir)
+    t = ts.cluster_timeseries(topics, docs, doc_dates(spark, sf_dir))
     told = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return ts.weekly_table(t).select("run", F.col("week").cast("string"), F.array_join(told, " ").alias("scores"))
 
@@ -192,7 +197,7 @@ FROM cp JOIN ph ON ph.a = cp.a AND ph.b = cp.b JOIN dts d ON d.doc_id = ph.doc_i
 WHERE d.date IS NOT NULL GROUP BY cp.run, cp.cluster, d.date""")
 def q_timeseries_max_words(spark, sf_dir):
     """FLT-7: lists written twice, of which those of more than 15 words have no series."""
-    _, docs, dates = _gap_inputs(spark, sf_dir)
-    twice = _topics(spark, sf_dir).select("run", "cluster", F.concat("words", "words").alias("words"))
-    out = ts.cluster_timeseries(twice, docs, dates)
+    topics, docs = _topics(spark, sf_dir)
+    twice = topics.select("run", "cluster", F.concat("words", "words").alias("words"))
+    out = ts.cluster_timeseries(twice, docs, _gap_dates(spark, sf_dir))
     return out.select("run", F.col("cluster").cast("bigint"), F.col("date").cast("string"), F.col("score").cast("bigint"))
