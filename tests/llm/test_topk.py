@@ -67,3 +67,15 @@ def test_bounds_leave_candidates_out():
     for q in range(30):
         order = sorted((x for x in range(5000) if x != q), key=lambda x: (-scores[q, x], x))[:20]
         assert best.rows[q][1].tolist() == order and best.rows[q][0].tolist() == scores[q, order].tolist()
+
+
+def test_copies_of_the_blocks_never_pass_the_driver(spark):
+    """Stored, the blocks of queries are small; copied once a cell they are not: no join may broadcast them."""
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(10)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    with topk.Tables() as tables:
+        out = topk._nearest(df, F.col("vec_id") % 20 == 0, "vec_id", "embedding", topk.Search(k=5, rows=32, queries=8), tables.written)
+        got = result(out)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    assert got == plain(rows, 5) and "SortMergeJoin" in plan and "Broadcast" not in plan

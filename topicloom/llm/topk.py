@@ -231,7 +231,8 @@ def _nearest(rows: DataFrame, is_query: Column, id_col: str, vector_col: str, s:
                         F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
     right = blocks.select("keys", "ids", "data", "mass", F.pmod(F.xxhash64("block"), cells).cast("int").alias("cell"),
                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_queries - 1).cast("bigint"))).alias("qb"))
-    found = left.join(right, ["qb", "cell"]).mapInArrow(searching(width, s, exact), HIT_DDL)
+    # both sides hold a block many times: as files they look small enough to be broadcast, by way of the driver
+    found = left.hint("merge").join(right, ["qb", "cell"]).mapInArrow(searching(width, s, exact), HIT_DDL)
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "key")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
